@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.session import materialise
+
 #: A spike holds at least so many texts of its source, and so many times what the lengths around it hold on average.
 SPIKE_TEXTS, SPIKE_RATIO, SPIKE_AROUND = 4, 8, 32
 #: Shapes of record lines that make up less than this share of all are not learnt; at most its inverse are.
@@ -46,15 +48,19 @@ def _occurrences(text: Column, what: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
 
 
-def stored_lengths(text: Column) -> dict[str, Column]:
-    """A text's length as different stores would take it."""
+#: Ways a store may take a text's length, the plainest first.
+UNITS = ("chars", "utf8", "utf16", "html", "html_quotes", "json", "json_utf8", "json_ascii", "crlf", "crlf_utf8")
+
+
+def stored_lengths(text: Column) -> Column:
+    """A text's length as different stores would take it, in the order of ``UNITS``."""
     count = lambda *what: sum((_occurrences(text, w) for w in what[1:]), _occurrences(text, what[0]))
     chars, utf8, lines = F.length(text), F.octet_length(text), _occurrences(text, "\n")
     utf16 = (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
     beyond_ascii = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
     tags = 4 * count("&") + 3 * count("<", ">")
     escapes = count('"', "\\", "\n", "\r", "\t")
-    return {
+    lengths = {
         "chars": chars,
         "utf8": utf8,
         "utf16": utf16,
@@ -67,21 +73,26 @@ def stored_lengths(text: Column) -> dict[str, Column]:
         "crlf": chars + lines,
         "crlf_utf8": utf8 + lines,
     }
+    return F.array(*[lengths[unit].cast("bigint") for unit in UNITS])
+
 
+def source_limits(judged: DataFrame) -> DataFrame:
+    """``source, unit, limit, at_limit``: the sharpest spike of each source that has one.
 
-def source_limits(df: DataFrame, source: str, text: str) -> DataFrame:
-    """``source, unit, limit, at_limit``: the sharpest spike of text lengths of each source that has one."""
-    lengths = F.array(*[F.struct(F.lit(i).alias("i"), n.cast("bigint").alias("n")) for i, n in enumerate(stored_lengths(F.col(text)).values())])
-    shown = df.where(F.length(F.btrim(F.col(text), F.lit(_BLANKS))) > 0)
-    each = shown.select(F.col(source).alias("source"), F.explode(lengths).alias("l"))
-    bars = each.groupBy("source", F.col("l.i").alias("i"), F.col("l.n").alias("n")).agg(F.count(F.lit(1)).alias("texts"))
+    ``judged`` has rows ``source, ending, lengths`` as ``judge`` makes them. A
+    spike must stand out from the lengths around it, and half of its texts or
+    more must end as if cut: texts of one length by chance mostly do not.
+    """
+    each = judged.select("source", "ending", F.posexplode("lengths").alias("i", "n"))
+    bars = each.groupBy("source", "i", "n").agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("ending") == "cut").alias("cut"))
     # One row per different length here, however many texts have it.
     near = Window.partitionBy("source", "i").orderBy("n").rangeBetween(-SPIKE_AROUND, SPIKE_AROUND)
     usual = (F.sum("texts").over(near) - F.col("texts")) / (2 * SPIKE_AROUND)
-    spikes = bars.withColumn("usual", usual).where((F.col("texts") >= SPIKE_TEXTS) & (F.col("texts") >= SPIKE_RATIO * F.col("usual")))
+    sharp = (F.col("texts") >= SPIKE_TEXTS) & (F.col("texts") >= SPIKE_RATIO * F.col("usual")) & (2 * F.col("cut") >= F.col("texts"))
+    spikes = bars.withColumn("usual", usual).where(sharp)
     # The plainest unit wins a tie: a limit in characters shows as well in UTF-16 units.
     best = spikes.groupBy("source").agg(F.max(F.struct("texts", (-F.col("i")).alias("i"), "n")).alias("b"))
-    units = F.array(*[F.lit(u) for u in stored_lengths(F.col(text))])
+    units = F.array(*[F.lit(u) for u in UNITS])
     return best.select("source", F.get(units, -F.col("b.i")).alias("unit"), F.col("b.n").alias("limit"), F.col("b.texts").alias("at_limit"))
 
 
@@ -120,7 +131,7 @@ def endings(text: Column, shapes: list[str]) -> Column:
     goes_on = tail.rlike(r"[\p{L}\p{N}]$")
     state = F.when(goes_on, "open").otherwise("whole")
     return (
-        F.when(F.length(stripped) == 0, None)
+        F.when(F.coalesce(F.length(stripped), F.lit(0)) == 0, None)
         .when(tail.rlike(MARKER), "cut")
         .when(queries, F.when(last.rlike(WHOLE_QUERY_LINE), state).otherwise("cut"))
         .when(records, F.when(known, state).otherwise("cut"))
@@ -133,6 +144,26 @@ def endings(text: Column, shapes: list[str]) -> Column:
     )
 
 
+def judge(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    """``key, source, ending, lengths`` of every text that is not blank, written to the shared folder."""
+    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).cast("string").alias("text"))
+    ending = endings(F.col("text"), record_shapes(rows, "text"))
+    judged = rows.select("key", "source", ending.alias("ending"), stored_lengths(F.col("text")).alias("lengths"))
+    return materialise(judged.where("ending IS NOT NULL"), "judged")
+
+
+def _decide(judged: DataFrame, limits: DataFrame) -> DataFrame:
+    # One row per source that has a limit; Spark broadcasts it only where it is small.
+    found = limits.select(F.col("source").alias("_source"), "unit", "limit")
+    number = F.array_position(F.array(*[F.lit(u) for u in UNITS]), F.col("unit"))
+    length = F.get(F.col("lengths"), number.cast("int") - 1)
+    slack = F.when(F.col("unit").endswith("utf8"), 3).otherwise(0)
+    met = F.coalesce(length.between(F.col("limit") - slack, F.col("limit")), F.lit(False))
+    joined = judged.join(found, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("at_limit", met)
+    cut = (F.col("ending") == "cut") | ((F.col("ending") == "open") & F.col("at_limit"))
+    return joined.select("key", "source", "ending", "at_limit", cut.alias("truncated"))
+
+
 def truncated_texts(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """``key, source, ending, at_limit, truncated`` of every row of ``df`` with a text that is not blank.
 
@@ -142,26 +173,25 @@ def truncated_texts(df: DataFrame, key: str, source: str, text: str) -> DataFram
     source form a source of their own; repeated rows stay repeated. Empty tables
     give no rows, and other columns are ignored.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
-    # Bounded by one row per source that has a limit; joined by broadcast only where Spark finds it small.
-    limits = source_limits(rows, "source", "text").select(F.col("source").alias("_source"), "unit", "limit")
-    length = F.coalesce(*[F.when(F.col("unit") == u, n) for u, n in stored_lengths(F.col("text")).items()])
-    slack = F.when(F.col("unit").endswith("utf8"), 3).otherwise(0)
-    judged = rows.join(limits, F.col("source").eqNullSafe(F.col("_source")), "left").select(
-        "key",
-        "source",
-        endings(F.col("text"), record_shapes(rows, "text")).alias("ending"),
-        F.coalesce(length.between(F.col("limit") - slack, F.col("limit")), F.lit(False)).alias("at_limit"),
-    )
-    cut = (F.col("ending") == "cut") | ((F.col("ending") == "open") & F.col("at_limit"))
-    return judged.where("ending IS NOT NULL").select(F.col("key").alias(key), F.col("source").alias(source), "ending", "at_limit", cut.alias("truncated"))
+    judged = judge(df, key, source, text)
+    decided = _decide(judged, source_limits(judged))
+    return decided.select(F.col("key").alias(key), F.col("source").alias(source), "ending", "at_limit", "truncated")
 
 
 def truncation_rates(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """``source, texts, truncated, share`` and the source's ``unit, limit, at_limit`` (null where no limit shows)."""
-    rates = truncated_texts(df, key, source, text).groupBy(source).agg(
-        F.count(F.lit(1)).alias("texts"), F.sum(F.col("truncated").cast("bigint")).alias("truncated")
+    judged = judge(df, key, source, text)
+    limits = materialise(source_limits(judged), "limits")
+    rates = _decide(judged, limits).groupBy("source").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if("truncated").alias("truncated")
+    )
+    joined = rates.join(limits.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
+    return joined.select(
+        F.col("source").alias(source),
+        "texts",
+        "truncated",
+        F.round(F.col("truncated") / F.col("texts"), 6).alias("share"),
+        "unit",
+        "limit",
+        "at_limit",
     )
-    limits = source_limits(df, source, text).withColumnRenamed("source", "_source")
-    joined = rates.join(limits, rates[source].eqNullSafe(limits["_source"]), "left").drop("_source")
-    return joined.withColumn("share", F.round(F.col("truncated") / F.col("texts"), 6))
