@@ -1,14 +1,209 @@
-"""Queries over the test tables."""
+"""Queries over the test tables, and the SQL each must agree with."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.context import BooleanContext
+from termloom.operators import boolean, matrix, postings
+from termloom.operators.batch import count_queries
 from termloom.operators.skew import key_profile
-from termloom.sources.tables import metas, table
+from termloom.plans.ast import Node, flatten, simplify
+from termloom.plans.builder import BooleanPredicateBuilder
+from termloom.plans.parser import parse_query
+from termloom.sources.query_log import logged_queries
+from termloom.sources.tables import items, metas, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Query text and, for SQL, its meaning with terms in braces.
+BOOLEAN = {
+    "and2": ("the AND of", "{the} AND {of}"),
+    "and4": ("the AND castle AND of AND river", "{the} AND {castle} AND {of} AND {river}"),
+    "or2": ("castle OR nicht", "{castle} OR {nicht}"),
+    "or4": ("castle OR nicht OR riviere OR museo", "{castle} OR {nicht} OR {riviere} OR {museo}"),
+    "nested_and_or": ("the AND (und OR nicht OR of)", "{the} AND ({und} OR {nicht} OR {of})"),
+    "nested_or_and": ("castle OR (river AND museum)", "{castle} OR ({river} AND {museum})"),
+    "deep_nested": (
+        "the AND (castle OR (river AND (museum OR (village AND bridge))) OR und)",
+        "{the} AND ({castle} OR ({river} AND ({museum} OR ({village} AND {bridge}))) OR {und})",
+    ),
+    "equal_precedence": ("castle OR river AND museum", "({castle} OR {river}) AND {museum}"),
+    "implicit_should": ("castle museum bridge", "{castle} OR {museum} OR {bridge}"),
+    "plus_must": ("+the +of +river", "{the} AND {of} AND {river}"),
+    "plus_mixed": ("+the castle +museum", "{the} AND ({castle} OR {museum})"),
+    "plus_group": ("+of +(castle museum)", "{of} AND ({castle} OR {museum})"),
+    "multi_token_word": ("shard-01 OR film-festival", "({shard} AND {01}) OR ({film} AND {festival})"),
+    "missing_in_and": ("the AND zzqqxx", "{the} AND {zzqqxx}"),
+    "missing_in_or": ("castle OR zzqqxx", "{castle} OR {zzqqxx}"),
+    "single_term": ("castle", "{castle}"),
+    "duplicate_term": ("castle AND castle AND (castle OR river)", "{castle}"),
+}
+NESTED = BOOLEAN["nested_and_or"]
+BATCH = ("and2", "nested_and_or", "nested_or_and", "equal_precedence", "missing_in_and", "plus_mixed")
+#: Words of the dense matrix and of its vertical parts.
+WORDS = ["CASTLE", "RIVER", "MUSEUM", "THE", "MARKT", "VIEILLE"]
+BLOCK_TERMS = ["the", "of", "castle", "nicht"]
+PREFIX = "mar"
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents")
+
+
+def _postings(spark: SparkSession, folder: str) -> DataFrame:
+    return postings.build_postings(_documents(spark, folder))
+
+
+def _count(matches: DataFrame) -> DataFrame:
+    return matches.agg(F.count(F.lit(1)).alias("n"))
+
+
+def _boolean(text: str) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        context = BooleanContext(spark)
+        context.index_documents("documents", _documents(spark, folder))
+        return context.boolean("documents", text, use_stats=False).count_agg()
+
+    return query
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return _boolean(NESTED[0])(spark, folder)
+
+
+def _over_postings(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: operator(_postings(spark, folder))
+
+
+def _tree(text: str) -> Node:
+    return simplify(parse_query(text))
+
+
+def tokenize_stats(spark: SparkSession, folder: str) -> DataFrame:
+    p = _postings(spark, folder).groupBy("term").agg(F.sum("tf").alias("tf"))
+    docs = _documents(spark, folder).agg(F.count(F.lit(1)).alias("n_docs"))
+    return docs.join(F.broadcast(p.agg(F.sum("tf").alias("n_tokens"), F.count(F.lit(1)).alias("n_terms"))))
+
+
+def builder_must_should(spark: SparkSession, folder: str) -> DataFrame:
+    built = BooleanPredicateBuilder.must(["the", "of"]).with_must(BooleanPredicateBuilder.should(["castle", "museum"])).build()
+    return _count(boolean.by_pivot(_postings(spark, folder), flatten(built)))
+
+
+def builder_must_not(spark: SparkSession, folder: str) -> DataFrame:
+    built = BooleanPredicateBuilder.must(["the", "of"]).must_not(["castle", "river"]).build()
+    return _count(boolean.by_pivot(_postings(spark, folder), flatten(built)))
+
+
+def count_valid(spark: SparkSession, folder: str) -> DataFrame:
+    return boolean.count_valid(_documents(spark, folder), "text")
+
+
+def matching_docs(spark: SparkSession, folder: str) -> DataFrame:
+    return boolean.by_pivot(_postings(spark, folder), _tree(NESTED[0]))
+
+
+def docs_with_tf(spark: SparkSession, folder: str) -> DataFrame:
+    p = _postings(spark, folder)
+    return boolean.with_frequencies(p, boolean.by_pivot(p, _tree(NESTED[0])), ["the", "und", "nicht", "of"])
+
+
+def frequency_columns(spark: SparkSession, folder: str) -> DataFrame:
+    p = _postings(spark, folder)
+    return boolean.frequency_columns(p, boolean.flat_and(p, ["the", "castle"]), ["the", "castle"])
+
+
+def query_log_batch(spark: SparkSession, folder: str) -> DataFrame:
+    asked = spark.createDataFrame([(i, BOOLEAN[name][0]) for i, name in enumerate(BATCH)], "query_id bigint, query string")
+    return count_queries(asked, _postings(spark, folder))
+
+
+def query_log_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """query_id, n: every query of the log on the items."""
+    indexed = postings.build_postings(items(table(spark, folder, "wiki_item")), "seq", "text")
+    return count_queries(logged_queries(table(spark, folder, "query_log")), indexed)
+
+
+def candidate_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return boolean.candidate_blocks(_postings(spark, folder), _tree("nicht AND (castle OR museum)"))
+
+
+def pruned_count(spark: SparkSession, folder: str) -> DataFrame:
+    tree = _tree("nicht AND (castle OR museum)")
+    return _count(boolean.by_pivot(boolean.pruned(_postings(spark, folder), tree), tree))
+
+
+def rank_order(spark: SparkSession, folder: str) -> DataFrame:
+    """position, term, selectivity, rank of the conjuncts as the planner orders them."""
+    context = BooleanContext(spark)
+    context.index_documents("documents", _documents(spark, folder))
+    planned = context.boolean("documents", "the AND castle AND of AND river").plan.estimates
+    rows = [(i, str(c.node), c.selectivity, c.rank) for i, c in enumerate(planned.children)]
+    found = spark.createDataFrame(rows, "position bigint, term string, selectivity double, rank double")
+    return found.select("position", "term", F.round("selectivity", 6).alias("selectivity"), F.round("rank", 6).alias("rank"))
+
+
+def bitmap_and(spark: SparkSession, folder: str) -> DataFrame:
+    return boolean.bitmap_and_count(postings.build_bitmaps(_postings(spark, folder)), ["the", "of", "river"])
+
+
+def bitmap_or(spark: SparkSession, folder: str) -> DataFrame:
+    return boolean.bitmap_or_count(postings.build_bitmaps(_postings(spark, folder)), ["castle", "nicht", "museo"])
+
+
+def semi_join_and(spark: SparkSession, folder: str) -> DataFrame:
+    return _count(boolean.by_sets(_postings(spark, folder), _tree("castle AND river AND the")))
+
+
+def union_or(spark: SparkSession, folder: str) -> DataFrame:
+    return _count(boolean.by_sets(_postings(spark, folder), _tree("castle OR nicht OR museo")))
+
+
+def forward_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return _count(boolean.by_scan(_documents(spark, folder), _tree(NESTED[0])))
+
+
+def dense_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    return matrix.dense_matrix(_documents(spark, folder), WORDS)
+
+
+def _parts(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return matrix.vertical_split(dense_matrix(spark, folder), 3)
+
+
+def split_join(spark: SparkSession, folder: str) -> DataFrame:
+    left, right = _parts(spark, folder)
+    return matrix.join_split(left, right, "w0", "w3")
+
+
+def split_join_bitand(spark: SparkSession, folder: str) -> DataFrame:
+    left, right = _parts(spark, folder)
+    return matrix.join_bitand(left, right, "w0", "w3")
+
+
+def split_bitand(spark: SparkSession, folder: str) -> DataFrame:
+    return matrix.bitand(_parts(spark, folder)[0], "w0", "w1")
+
+
+def split_bitor(spark: SparkSession, folder: str) -> DataFrame:
+    return matrix.bitor(_parts(spark, folder)[0], "w0", "w2")
+
+
+def corpus_running_total(spark: SparkSession, folder: str) -> DataFrame:
+    return postings.corpus_running_total(_documents(spark, folder))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("selectivity", F.round("selectivity", 6))
+
+
+def _dictionary(p: DataFrame) -> DataFrame:
+    return _rounded(postings.dictionary(p))
 
 
 def p2_key_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,17 +225,128 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_key_totals(spark, folder).where("term IS NOT NULL AND metas * 100 >= all_metas").select("term")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_key_totals)}
+def queries() -> dict[str, Query]:
+    named = (
+        tokenize_stats, builder_must_should, builder_must_not, count_valid, matching_docs, docs_with_tf, frequency_columns,
+        query_log_batch, query_log_counts, candidate_blocks, pruned_count, rank_order, bitmap_and, bitmap_or, semi_join_and,
+        union_or, forward_scan, dense_matrix, split_join, split_join_bitand, split_bitand, split_bitor, corpus_running_total,
+        p2_found, p2_key_totals,
+    )
+    over = {
+        "postings_tf": lambda p: p,
+        "posting_by_term": lambda p: p.where(F.col("term") == "castle"),
+        "term_dictionary": _dictionary,
+        "dictionary_lookup": lambda p: _rounded(postings.lookup(postings.dictionary(p), [*BLOCK_TERMS, "zzqqxx"])),
+        "term_blocks": lambda p: postings.lookup(postings.term_blocks(p), BLOCK_TERMS),
+        "chunk_encoding_stats": postings.chunk_report,
+        "rle_runs": postings.distribution_runs,
+        "prefix_terms": lambda p: postings.prefix_terms(_dictionary(p), PREFIX),
+        "term_groups": lambda p: postings.term_groups(p.select("term").distinct()),
+        "sample_terms": lambda p: postings.sample_terms(p.select("term").distinct()),
+        "term_length_histogram": lambda p: postings.term_length_histogram(p.select("term").distinct()),
+    }
+    return (
+        {name: _boolean(text) for name, (text, _) in BOOLEAN.items()}
+        | {f.__name__: f for f in named}
+        | {name: _over_postings(operator) for name, operator in over.items()}
+    )
 
 
+_TOKENS = r"""raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS token FROM documents),
+tok AS (SELECT doc_id, lower(token) AS term FROM raw WHERE octet_length(encode(token)) < 40)"""
+_POSTING = f"{_TOKENS}, posting AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY term, doc_id)"
 _META = r"""meta AS (
     SELECT meta_id, min(lower(trim(term, E' \t\n\r\x0b\x0c'))) AS term, any_value(distribution) AS distribution, any_value(nums) AS nums
     FROM term_meta_temp WHERE meta_id IS NOT NULL GROUP BY meta_id)"""
+_DICTIONARY = f"""{_POSTING}, term_row AS (
+    SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ctf, count(DISTINCT doc_id // 512) AS n_blocks,
+           round(count(*) / (512.0 * count(DISTINCT doc_id // 512)), 6) AS selectivity
+    FROM posting GROUP BY term)"""
+_BLOCK = f"{_POSTING}, chunk AS (SELECT term, doc_id // 512 AS block, count(*) AS n_docs FROM posting GROUP BY ALL)"
+
+
+def _matches(meaning: str) -> str:
+    """SELECT of the documents for which a formula over terms in braces holds."""
+    terms = sorted(set(re.findall(r"\{([^}]+)\}", meaning)))
+    for i, term in enumerate(terms):
+        meaning = meaning.replace(f"{{{term}}}", f"t{i}")
+    flags = ", ".join(f"bool_or(term = '{t}') AS t{i}" for i, t in enumerate(terms))
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"SELECT doc_id FROM (SELECT doc_id, {flags} FROM tok WHERE term IN ({listed}) GROUP BY doc_id) WHERE {meaning}"
+
+
+def _counted(meaning: str) -> str:
+    return f"WITH {_TOKENS} SELECT count(*) AS n FROM ({_matches(meaning)})"
+
+
+def _cells(condition: str, columns: str) -> str:
+    return f"WITH {_CELLS} SELECT doc_id, {columns} FROM cell WHERE {condition}"
+
+
+_CELLS = (
+    "word AS (SELECT doc_id, upper(unnest(string_split_regex(text, '[ ,.;-]'))) AS w, text FROM documents), cell AS (SELECT d.doc_id, "
+    + ", ".join(f"CAST(coalesce(bool_or(w = '{w}'), false) AS TINYINT) AS w{i}" for i, w in enumerate(WORDS))
+    + " FROM documents d LEFT JOIN word ON word.doc_id = d.doc_id GROUP BY d.doc_id)"
+)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    listed = ", ".join(f"'{t}'" for t in BLOCK_TERMS)
+    pruned = "{nicht} AND ({castle} OR {museum})"
+    batch = " UNION ALL ".join(f"SELECT {i} AS query_id, count(*) AS n FROM ({_matches(BOOLEAN[name][1])})" for i, name in enumerate(BATCH))
+    return {name: _counted(meaning) for name, (_, meaning) in BOOLEAN.items()} | {
+        "tokenize_stats": f"""WITH {_TOKENS} SELECT (SELECT count(*) FROM documents) AS n_docs, count(*) AS n_tokens,
+            count(DISTINCT term) AS n_terms FROM tok""",
+        "builder_must_should": _counted("{the} AND {of} AND ({castle} OR {museum})"),
+        "builder_must_not": _counted("{the} AND {of} AND NOT {castle} AND NOT {river}"),
+        "count_valid": "SELECT count(text) AS n FROM documents",
+        "matching_docs": f"WITH {_TOKENS} {_matches(NESTED[1])}",
+        "docs_with_tf": f"""WITH {_POSTING} SELECT doc_id, term, tf FROM posting
+            WHERE term IN ('the', 'und', 'nicht', 'of') AND doc_id IN ({_matches(NESTED[1])})""",
+        "frequency_columns": f"""WITH {_POSTING} SELECT doc_id, max(CASE WHEN term = 'the' THEN tf END) AS the_freq,
+            max(CASE WHEN term = 'castle' THEN tf END) AS castle_freq
+            FROM posting WHERE term IN ('the', 'castle') GROUP BY doc_id HAVING count(*) = 2""",
+        "query_log_batch": f"WITH {_TOKENS} {batch}",
+        "candidate_blocks": f"""WITH {_TOKENS} SELECT block FROM (
+            SELECT doc_id // 512 AS block, bool_or(term = 'nicht') AS a, bool_or(term = 'castle') AS b, bool_or(term = 'museum') AS c
+            FROM tok GROUP BY ALL) WHERE a AND (b OR c)""",
+        "pruned_count": _counted(pruned),
+        "rank_order": f"""WITH {_DICTIONARY}, asked AS (
+                SELECT term, count(*) / (512.0 * count(DISTINCT doc_id // 512)) AS s FROM posting
+                WHERE term IN ('the', 'castle', 'of', 'river') GROUP BY term)
+            SELECT row_number() OVER (ORDER BY s) - 1 AS position, term, round(s, 6) AS selectivity, round(s - 1, 6) AS rank FROM asked""",
+        "bitmap_and": _counted("{the} AND {of} AND {river}"),
+        "bitmap_or": _counted("{castle} OR {nicht} OR {museo}"),
+        "semi_join_and": _counted("{castle} AND {river} AND {the}"),
+        "union_or": _counted("{castle} OR {nicht} OR {museo}"),
+        "forward_scan": _counted(NESTED[1]),
+        "dense_matrix": f"WITH {_CELLS} SELECT * FROM cell",
+        "split_join": _cells("w0 = 1 AND w3 = 1", "w0, w3"),
+        "split_join_bitand": _cells("w0 = 1 AND w3 = 1", "w0, w3"),
+        "split_bitand": _cells("w0 = 1 AND w1 = 1", "w0, w1"),
+        "split_bitor": _cells("w0 = 1 OR w2 = 1", "w0, w2"),
+        "corpus_running_total": """WITH s AS (SELECT source, count(*) AS n_docs FROM documents GROUP BY source)
+            SELECT source, n_docs, CAST(sum(n_docs) OVER (ORDER BY source NULLS FIRST) AS BIGINT) AS running FROM s""",
+        "postings_tf": f"WITH {_POSTING} SELECT term, doc_id, tf FROM posting",
+        "posting_by_term": f"WITH {_POSTING} SELECT term, doc_id, tf FROM posting WHERE term = 'castle'",
+        "term_dictionary": f"WITH {_DICTIONARY} SELECT * FROM term_row",
+        "dictionary_lookup": f"WITH {_DICTIONARY} SELECT * FROM term_row WHERE term IN ({listed}, 'zzqqxx')",
+        "term_blocks": f"WITH {_BLOCK} SELECT term, block, n_docs FROM chunk WHERE term IN ({listed})",
+        "chunk_encoding_stats": f"""WITH {_BLOCK}, e AS (
+                SELECT n_docs, CASE WHEN n_docs > 32 OR (n_docs >= 16 AND block = max(block) OVER (PARTITION BY term))
+                       THEN 'bitmap' ELSE 'ids' END AS encoding FROM chunk)
+            SELECT encoding, count(*) AS n_chunks, CAST(sum(n_docs) AS BIGINT) AS n_postings,
+                   CAST(sum(CASE WHEN encoding = 'bitmap' THEN 64 ELSE 2 * n_docs END) AS BIGINT) AS n_bytes
+            FROM e GROUP BY encoding""",
+        "rle_runs": f"""WITH {_BLOCK}, g AS (
+                SELECT term, CASE WHEN block - lag(block) OVER (PARTITION BY term ORDER BY block) = 1 THEN 0 ELSE 1 END AS s FROM chunk)
+            SELECT term, CAST(sum(s) AS BIGINT) AS n_runs FROM g GROUP BY term""",
+        "prefix_terms": f"WITH {_DICTIONARY} SELECT * FROM term_row WHERE starts_with(term, '{PREFIX}')",
+        "term_groups": f"""WITH {_TOKENS}, t AS (SELECT DISTINCT term FROM tok),
+            r AS (SELECT term, row_number() OVER (ORDER BY encode(term)) - 1 AS term_id FROM t)
+            SELECT term, term_id, term_id // 100 AS term_group FROM r""",
+        "term_length_histogram": f"""WITH {_TOKENS}, t AS (SELECT DISTINCT term FROM tok)
+            SELECT CAST(octet_length(encode(term)) AS BIGINT) AS n_bytes, count(*) AS n_terms FROM t GROUP BY ALL""",
         "p2_found": f"""WITH {_META} SELECT term FROM meta WHERE term IS NOT NULL
             GROUP BY term HAVING count(*) * 100 >= (SELECT count(*) FROM meta)""",
         "p2_key_totals": f"""WITH {_META}, one AS (
