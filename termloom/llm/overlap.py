@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RANGE_BITS, BLOCK_BITS = 9, 8
-#: Words of 64 members in a range.
+#: Words of 64 members in a range, as a power of two.
+RANGE_BITS = 9
 RANGE_WORDS = 1 << RANGE_BITS
-#: Sets compared in one task; more sets are dealt into blocks, and every two blocks meet in a task of their own.
-BLOCK_SETS = 1 << BLOCK_BITS
+#: Sets compared in one task, as a power of two; more sets are dealt into blocks, and every two blocks meet in a task of their own.
+BLOCK_BITS = 8
 
 
 def bitmap_words(members: DataFrame) -> DataFrame:
@@ -31,57 +31,62 @@ def bitmap_words(members: DataFrame) -> DataFrame:
     return sound.groupBy("space", "no", F.shiftright("member", 6).alias("word_no")).agg(F.bit_or(bit).alias("word"))
 
 
-def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by space, pair of blocks and range."""
-    sums: dict[tuple, np.ndarray] = {}
-    held: list[np.ndarray] = []
-    current = None
-
-    def close() -> None:
-        if not held:
-            return
-        space, a, b, _ = current
-        no, offset, word = np.concatenate(held, axis=1)
-        held.clear()
-        word = word.view(np.uint64)
-        sides = []
-        for block in (a, b):
-            dense = np.zeros((BLOCK_SETS, RANGE_WORDS), np.uint64)
-            mine = no // BLOCK_SETS == block
-            np.bitwise_or.at(dense, (no[mine] % BLOCK_SETS, offset[mine]), word[mine])
-            sides.append(dense)
-        left, right = sides
-        total = sums.setdefault((space, a, b), np.zeros((BLOCK_SETS, BLOCK_SETS), np.int64))
-        used = np.flatnonzero(right.any(axis=1))
-        for i in np.flatnonzero(left.any(axis=1)):
-            columns = np.flatnonzero(left[i])
-            total[i, used] += np.bitwise_count(right[np.ix_(used, columns)] & left[i, columns]).sum(axis=1, dtype=np.int64)
-
-    for batch in batches:
-        space = batch.column("space").to_pylist()
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "range")])
-        data = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("no", "offset", "word")])
-        change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | np.array([x != y for x, y in zip(space, space[1:])], bool)) + 1
-        for start, end in zip([0, *change], [*change, len(space)]):
-            if start == end:
-                continue
-            key = (space[start], *(int(x) for x in keys[:, start]))
-            if key != current:
-                close()
-                current = key
-            held.append(data[:, start:end])
-    close()
-    for (space, a, b), total in sums.items():
-        i, j = np.nonzero(total)
-        keep = (a * BLOCK_SETS + i) <= (b * BLOCK_SETS + j)
-        i, j = i[keep], j[keep]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([space] * len(i), pa.string()), pa.array(a * BLOCK_SETS + i), pa.array(b * BLOCK_SETS + j), pa.array(total[i, j])],
-            ["space", "no_a", "no_b", "shared"],
-        )
-
-
-def overlap_sizes(words: DataFrame, sets: int) -> DataFrame:
+def _intersections(block: int):
+    """Counts within one partition, whose rows come sorted by space, pair of blocks and range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        held: list[np.ndarray] = []
+        current = None
+
+        def close() -> None:
+            if not held:
+                return
+            space, a, b, _ = current
+            no, offset, word = np.concatenate(held, axis=1)
+            held.clear()
+            word = word.view(np.uint64)
+            sides = []
+            for number in (a, b):
+                dense = np.zeros((block, RANGE_WORDS), np.uint64)
+                mine = no // block == number
+                np.bitwise_or.at(dense, (no[mine] % block, offset[mine]), word[mine])
+                sides.append(dense)
+            left, right = sides
+            total = sums.setdefault((space, a, b), np.zeros((block, block), np.int64))
+            used = np.flatnonzero(right.any(axis=1))
+            for i in np.flatnonzero(left.any(axis=1)):
+                columns = np.flatnonzero(left[i])
+                total[i, used] += np.bitwise_count(right[np.ix_(used, columns)] & left[i, columns]).sum(axis=1, dtype=np.int64)
+
+        for batch in batches:
+            space = batch.column("space").to_pylist()
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "range")])
+            data = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("no", "offset", "word")])
+            other_space = np.array([x != y for x, y in zip(space, space[1:])], bool)
+            change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | other_space) + 1
+            for start, end in zip([0, *change], [*change, len(space)]):
+                if start == end:
+                    continue
+                key = (space[start], *(int(x) for x in keys[:, start]))
+                if key != current:
+                    close()
+                    current = key
+                held.append(data[:, start:end])
+        close()
+        for (space, a, b), total in sums.items():
+            i, j = np.nonzero(total)
+            keep = (a * block + i) <= (b * block + j)
+            i, j = i[keep], j[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([space] * len(i), pa.string()), pa.array(a * block + i), pa.array(b * block + j), pa.array(total[i, j])],
+                ["space", "no_a", "no_b", "shared"],
+            )
+
+    return run
+
+
+def overlap_sizes(words: DataFrame, sets: int, block_bits: int = BLOCK_BITS) -> DataFrame:
     """``space, no_a, no_b, shared``: members in common of every two sets that share any, and each set's size.
 
     ``words`` has rows ``space, no, word_no, word`` as of ``bitmap_words``; sets
@@ -89,8 +94,8 @@ def overlap_sizes(words: DataFrame, sets: int) -> DataFrame:
     A set's own size is in the row with ``no_a = no_b``. Repeated rows change
     nothing; empty sets have no rows.
     """
-    blocks = -(-max(sets, 1) // BLOCK_SETS)
-    mine = F.shiftright("no", BLOCK_BITS)
+    blocks = -(-max(sets, 1) // (1 << block_bits))
+    mine = F.shiftright("no", block_bits)
     meets = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")),
         lambda other: F.struct(F.least(mine, other).alias("a"), F.greatest(mine, other).alias("b")),
@@ -106,7 +111,7 @@ def overlap_sizes(words: DataFrame, sets: int) -> DataFrame:
     order = ["space", "a", "b", "range"]
     arranged = dealt.repartition(*order).sortWithinPartitions(*order)
     return (
-        arranged.mapInArrow(_intersections, "space string, no_a bigint, no_b bigint, shared bigint")
+        arranged.mapInArrow(_intersections(1 << block_bits), "space string, no_a bigint, no_b bigint, shared bigint")
         .groupBy("space", "no_a", "no_b")
         .agg(F.sum("shared").alias("shared"))
     )
