@@ -134,12 +134,13 @@ def same_looking_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     spelling of it exists, and then only the rows that come out. An empty table
     gives an empty result; other columns are ignored.
     """
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
+    # The test is on the stored text: on the consistent form, it would have that made a second time.
+    unseen = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in INVISIBLE)
+    rows = df.where(F.col(key).isNotNull() & F.col(text).rlike(rf"[^\s\p{{Z}}{unseen}]")).select(
         F.col(key).cast("string").alias("_id"), F.col(text).alias("_text"), canonical_text(text).alias("_form")
     )
-    shown = rows.where(F.col("_form").rlike(r"\S"))
     members = materialise(
-        shown.select("_id", F.sha2("_form", 256).alias("_look"), F.sha2("_text", 256).alias("_same")).distinct(), "looks"
+        rows.select("_id", F.sha2("_form", 256).alias("_look"), F.sha2("_text", 256).alias("_same")).distinct(), "looks"
     )
     classes = members.select("_look", "_same").distinct()
     spellings = classes.groupBy("_look").agg(F.sort_array(F.collect_list("_same")).alias("_all")).where(F.size("_all") > 1)
