@@ -63,8 +63,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_scores(spark, folder).where("tf >= 3 AND tfidf >= 0.0377").select("seq", "term")
 
 
-def _overlaps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Words of the watched terms' bitmaps in both origins, overlapped; and the numbered terms."""
+#: Sets whose sizes are joined to the pairs by broadcast (about 100 bytes each); more are joined by shuffle.
+BROADCAST_SETS = 10_000
+
+
+def _overlaps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int]:
+    """Intersection sizes of the watched terms' sets in both origins, the numbered terms, and how many numbers they have."""
     watched = table(spark, folder, "watch_term").where("term_no IS NOT NULL AND term IS NOT NULL").select(
         F.col("term_no").cast("bigint").alias("no"), "term"
     )
@@ -77,14 +81,16 @@ def _overlaps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     blocks = inner.groupBy("no", (F.col("part").cast("bigint") * (1 << 32) + F.col("at")).alias("word_no")).agg(F.bit_or("word").alias("word"))
     words = bitmap_words(members).unionByName(blocks.select(F.lit("term_meta_temp").alias("space"), "no", "word_no", "word"))
     sets = (watched.agg(F.max("no")).first()[0] or 0) + 1
-    return overlap_sizes(words, sets), watched
+    return overlap_sizes(words, sets), watched, sets
 
 
 def p5_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     """origin, term_a, term_b, n_a, n_b, shared of every two watched terms that share a member."""
-    sizes, watched = _overlaps(spark, folder)
+    sizes, watched, sets = _overlaps(spark, folder)
     sizes = materialise(sizes, "overlaps")
     own = sizes.where("no_a = no_b").select("space", F.col("no_a").alias("no"), F.col("shared").alias("n")).join(watched, "no")
+    if sets <= BROADCAST_SETS:
+        own = F.broadcast(own)
     side = lambda s: own.select("space", *[F.col(c).alias(f"{c}_{s}") for c in ("no", "n", "term")])
     pairs = sizes.where("no_a < no_b").join(side("a"), ["space", "no_a"]).join(side("b"), ["space", "no_b"])
     first = F.col("term_a") < F.col("term_b")
