@@ -64,22 +64,28 @@ def count_queries(queries: DataFrame, postings: DataFrame) -> DataFrame:
     asked, it is answered once.
     """
     asked = queries.select("query_id", F.col("query").cast("string").alias("query"))
+    different = asked.where("query IS NOT NULL").select("query").distinct()
     plans = materialise(
-        asked.where("query IS NOT NULL").select("query").distinct().mapInPandas(_compiled, "query string, terms array<string>, clauses array<bigint>"),
+        different.mapInPandas(_compiled, "query string, terms array<string>, clauses array<bigint>").withColumn(
+            "q", F.monotonically_increasing_id()
+        ),
         "plans",
     )
     readable = plans.where("terms IS NOT NULL")
-    pairs = readable.select("query", F.posexplode("terms").alias("place", "term"))
-    met = pairs.join(postings.select("term", "doc_id"), "term")
+    term_docs = postings.select("term", "doc_id")
+    # Queries that fit masks. Numbers stand for their texts, as written once with the plans.
+    narrow = readable.where("clauses IS NOT NULL")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place"))
-    masks = met.join(readable.where("clauses IS NOT NULL").select(F.col("query").alias("_q")), F.col("query") == F.col("_q"), "left_semi")
-    masked = masks.groupBy("query", "doc_id").agg(F.bit_or(bit).alias("mask"))
+    met = narrow.select("q", F.posexplode("terms").alias("place", "term")).join(term_docs, "term")
+    masks = met.groupBy("q", "doc_id").agg(F.bit_or(bit).alias("mask"))
     fits = F.exists("clauses", lambda c: F.col("mask").bitwiseAND(c) == c)
-    matched = masked.join(readable.select("query", "clauses"), "query").where(fits).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
-    # At most a query's own terms per document.
-    wide = met.join(readable.where("clauses IS NULL").select(F.col("query").alias("_q")), F.col("query") == F.col("_q"), "left_semi")
-    sets = wide.groupBy("query", "doc_id").agg(F.collect_list("term").alias("present"))
-    tree = F.pandas_udf(_as_trees, "boolean")
-    matched = matched.unionByName(sets.where(tree("query", "present")).groupBy("query").agg(F.count(F.lit(1)).alias("n")))
+    matched = masks.join(narrow.select("q", "query", "clauses"), "q").where(fits).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    broad = readable.where("clauses IS NULL")
+    if not broad.isEmpty():
+        wide = broad.select("query", F.explode("terms").alias("term")).join(term_docs, "term")
+        # At most a query's own terms per document.
+        sets = wide.groupBy("query", "doc_id").agg(F.collect_list("term").alias("present"))
+        trees = sets.where(F.pandas_udf(_as_trees, "boolean")("query", "present"))
+        matched = matched.unionByName(trees.groupBy("query").agg(F.count(F.lit(1)).alias("n")))
     counts = readable.select("query").join(matched, "query", "left").select("query", F.coalesce("n", F.lit(0)).alias("n"))
     return asked.join(counts, "query", "left").select("query_id", "n")

@@ -16,6 +16,7 @@ from termloom.functions.analysis import tokens
 from termloom.operators.postings import block_of
 from termloom.plans.ast import FALSE, And, Node, Not, Or, Term, matches_nothing_at_all, rebuild, terms_of, to_column
 from termloom.plans.planner import BLOCK, Plan
+from termloom.session import spread
 
 
 def _of_terms(postings: DataFrame, terms: list[str] | tuple[str, ...]) -> DataFrame:
@@ -89,7 +90,8 @@ def bitmap_or_count(bitmaps: DataFrame, terms: list[str] | tuple[str, ...]) -> D
 
 def by_scan(documents: DataFrame, node: Node, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``: every text tokenized and tested where it lies; no index, no shuffle."""
-    held = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_terms"))
+    texts = spread(documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")))
+    held = texts.select("doc_id", F.coalesce(tokens("_text"), F.array().cast("array<string>")).alias("_terms"))
     leaves = {t: F.array_contains("_terms", t) for t in terms_of(node)}
     return held.where(to_column(node, leaves, F.lit(False))).select("doc_id")
 

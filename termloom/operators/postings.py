@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from termloom.functions.analysis import tokens
 from termloom.operators.ranking import global_rank
 from termloom.plans.planner import BLOCK
+from termloom.session import spread
 
 #: A block with more documents is kept as a bitmap, the others as lists of offsets; the last block of a term from this many on.
 DENSE_OVER, DENSE_LAST = 32, 16
@@ -27,7 +28,8 @@ def build_postings(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     One shuffle on term and document with counts combined before it, so a term
     that is in every document is spread like any other.
     """
-    rows = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.explode(tokens(text)).alias("term"))
+    texts = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = spread(texts).select("doc_id", F.explode(tokens("text")).alias("term"))
     return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 

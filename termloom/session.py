@@ -47,6 +47,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it has fewer partitions than there are.
+
+    For work that costs far more per row than moving the row does, on tables of a
+    few files; a table of many splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def forget_materialised() -> None:
     """Delete every table that ``materialise`` has written and not yet deleted."""
     while _written:
