@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.session import spread
+
 #: How byte-level BPE splits text before the merges (fixed value of the public vocabulary).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words a task keeps the ids of before it starts afresh.
@@ -176,7 +178,7 @@ def _encoding(shared, lengths_only: bool):
 def _run(df: DataFrame, key: str, text: str, vocabulary: str, lengths_only: bool) -> DataFrame:
     # Bounded: a vocabulary's merges, whatever the texts.
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary))
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = spread(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(_encoding(shared, lengths_only), f"key {kind}, out {'bigint' if lengths_only else 'array<int>'}")
 
