@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.session import materialise
+from termloom.session import materialise, spread
 
 #: A spike holds at least so many texts of its source, and so many times what the lengths around it hold on average.
 SPIKE_TEXTS, SPIKE_RATIO, SPIKE_AROUND = 4, 8, 32
@@ -111,7 +111,8 @@ def record_shapes(df: DataFrame, text: str) -> list[str]:
     inner = df.where(F.col(text).rlike("(?m)" + RECORD)).select(
         F.explode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line")
     )
-    shapes = inner.where(F.col("line").rlike(RECORD)).groupBy(_shape(F.col("line")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    counted = inner.where(F.col("line").rlike(RECORD)).groupBy(_shape(F.col("line")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    shapes = materialise(counted, "shapes")
     total = shapes.agg(F.sum("n")).first()[0] or 0
     common = shapes.where((F.col("n") >= SHAPE_LINES) & (F.col("n") >= SHAPE_SHARE * total))
     return [r["shape"] for r in common.select("shape").collect()]
@@ -146,7 +147,7 @@ def endings(text: Column, shapes: list[str]) -> Column:
 
 def judge(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """``key, source, ending, lengths`` of every text that is not blank, written to the shared folder."""
-    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).cast("string").alias("text"))
+    rows = spread(df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).cast("string").alias("text")))
     ending = endings(F.col("text"), record_shapes(rows, "text"))
     judged = rows.select("key", "source", ending.alias("ending"), stored_lengths(F.col("text")).alias("lengths"))
     return materialise(judged.where("ending IS NOT NULL"), "judged")
