@@ -118,21 +118,26 @@ def record_shapes(df: DataFrame, text: str) -> list[str]:
     return [r["shape"] for r in common.select("shape").collect()]
 
 
-def endings(text: Column, shapes: list[str]) -> Column:
-    """``cut``, ``whole`` or ``open`` (whole as far as the ending tells, but it could go on); null for blank texts."""
-    stripped = F.rtrim(text, F.lit(_BLANKS))
-    last = F.substring_index(stripped, "\n", -1)
-    before = F.substring_index(F.substring_index(stripped, "\n", -2), "\n", 1)
-    several = F.instr(stripped, "\n") > 0
-    tail = F.substring(last, -TAIL, TAIL)
+def with_endings(df: DataFrame, text: str, shapes: list[str]) -> DataFrame:
+    """``df`` with a column ``ending``: ``cut``, ``whole`` or ``open`` (whole as far as it tells, but it could go on); null for blank texts."""
+    # In steps, as each is used many times: Spark keeps such columns instead of working them out at every use.
+    steps = df.withColumn("_stripped", F.rtrim(F.col(text), F.lit(_BLANKS)))
+    steps = steps.withColumns(
+        {
+            "_last": F.substring_index("_stripped", "\n", -1),
+            "_before": F.substring_index(F.substring_index("_stripped", "\n", -2), "\n", 1),
+            "_several": F.instr("_stripped", "\n") > 0,
+        }
+    )
+    steps = steps.withColumn("_tail", F.substring("_last", -TAIL, TAIL))
+    last, before, several, tail = (F.col(c) for c in ("_last", "_before", "_several", "_tail"))
     records = F.when(several, before.rlike(RECORD) | (before.rlike(":$") & last.rlike(RECORD))).otherwise(last.rlike(RECORD))
     queries = F.when(several, before.rlike(QUERY_LINE)).otherwise(last.rlike(QUERY_LINE))
     known = _shape(last).isin(shapes) if shapes else F.lit(False)
-    plain_style = ~text.rlike(SENTENCE_END) & ~text.rlike(r"\p{Lu}\p{Ll}")
-    goes_on = tail.rlike(r"[\p{L}\p{N}]$")
-    state = F.when(goes_on, "open").otherwise("whole")
-    return (
-        F.when(F.coalesce(F.length(stripped), F.lit(0)) == 0, None)
+    plain_style = ~F.col(text).rlike(SENTENCE_END) & ~F.col(text).rlike(r"\p{Lu}\p{Ll}")
+    state = F.when(tail.rlike(r"[\p{L}\p{N}]$"), "open").otherwise("whole")
+    ending = (
+        F.when(F.coalesce(F.length("_stripped"), F.lit(0)) == 0, None)
         .when(tail.rlike(MARKER), "cut")
         .when(queries, F.when(last.rlike(WHOLE_QUERY_LINE), state).otherwise("cut"))
         .when(records, F.when(known, state).otherwise("cut"))
@@ -143,13 +148,15 @@ def endings(text: Column, shapes: list[str]) -> Column:
         .when(plain_style, state)
         .otherwise("cut")
     )
+    return steps.withColumn("ending", ending).drop("_stripped", "_last", "_before", "_several", "_tail")
 
 
 def judge(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """``key, source, ending, lengths`` of every text that is not blank, written to the shared folder."""
     rows = spread(df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).cast("string").alias("text")))
-    ending = endings(F.col("text"), record_shapes(rows, "text"))
-    judged = rows.select("key", "source", ending.alias("ending"), stored_lengths(F.col("text")).alias("lengths"))
+    judged = with_endings(rows, "text", record_shapes(rows, "text")).select(
+        "key", "source", "ending", stored_lengths(F.col("text")).alias("lengths")
+    )
     return materialise(judged.where("ending IS NOT NULL"), "judged")
 
 

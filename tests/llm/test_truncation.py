@@ -27,7 +27,7 @@ OPEN = [
 def test_endings(spark):
     rows = [(x, "cut") for x in CUT] + [(x, "whole") for x in WHOLE] + [(x, "open") for x in OPEN] + [("", None), (None, None), (" \n ", None)]
     df = spark.createDataFrame(rows, "text string, wanted string")
-    found = df.select("text", "wanted", t.endings(F.col("text"), SHAPES).alias("found")).where("NOT (wanted <=> found)")
+    found = t.with_endings(df, "text", SHAPES).where("NOT (wanted <=> ending)")
     assert [tuple(r) for r in found.collect()] == []
 
 
