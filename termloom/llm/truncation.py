@@ -154,10 +154,10 @@ def with_endings(df: DataFrame, text: str, shapes: list[str]) -> DataFrame:
 def judge(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """``key, source, ending, lengths`` of every text that is not blank, written to the shared folder."""
     rows = spread(df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).cast("string").alias("text")))
-    judged = with_endings(rows, "text", record_shapes(rows, "text")).select(
-        "key", "source", "ending", stored_lengths(F.col("text")).alias("lengths")
-    )
-    return materialise(judged.where("ending IS NOT NULL"), "judged")
+    # Blank texts go by the text; a filter on the ending would have that worked out a second time.
+    shown = rows.where(F.length(F.rtrim(F.col("text"), F.lit(_BLANKS))) > 0)
+    judged = with_endings(shown, "text", record_shapes(rows, "text"))
+    return materialise(judged.select("key", "source", "ending", stored_lengths(F.col("text")).alias("lengths")), "judged")
 
 
 def _decide(judged: DataFrame, limits: DataFrame) -> DataFrame:
