@@ -85,9 +85,11 @@ def _tree(text: str) -> Node:
 
 
 def tokenize_stats(spark: SparkSession, folder: str) -> DataFrame:
-    p = _postings(spark, folder).groupBy("term").agg(F.sum("tf").alias("tf"))
-    docs = _documents(spark, folder).agg(F.count(F.lit(1)).alias("n_docs"))
-    return docs.join(F.broadcast(p.agg(F.sum("tf").alias("n_tokens"), F.count(F.lit(1)).alias("n_terms"))))
+    terms = _postings(spark, folder).groupBy("term").agg(F.sum("tf").alias("tf"))
+    none = F.lit(0).cast("bigint")
+    counts = terms.agg(F.coalesce(F.sum("tf"), none).alias("n_tokens"), F.count(F.lit(1)).alias("n_terms")).withColumn("n_docs", none)
+    docs = _documents(spark, folder).agg(F.count(F.lit(1)).alias("n_docs")).withColumns({"n_tokens": none, "n_terms": none})
+    return docs.unionByName(counts).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_terms")])
 
 
 def builder_must_should(spark: SparkSession, folder: str) -> DataFrame:
