@@ -34,31 +34,34 @@ def bitmap_words(members: DataFrame) -> DataFrame:
 def _intersections(block: int):
     """Counts within one partition, whose rows come sorted by space, pair of blocks and range."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
-        held: list[np.ndarray] = []
-        current = None
-
-        def close() -> None:
-            if not held:
-                return
-            space, a, b, _ = current
-            no, offset, word = np.concatenate(held, axis=1)
-            held.clear()
-            word = word.view(np.uint64)
-            sides = []
-            for number in (a, b):
-                dense = np.zeros((block, RANGE_WORDS), np.uint64)
-                mine = no // block == number
-                np.bitwise_or.at(dense, (no[mine] % block, offset[mine]), word[mine])
-                sides.append(dense)
-            left, right = sides
-            total = sums.setdefault((space, a, b), np.zeros((block, block), np.int64))
-            used = np.flatnonzero(right.any(axis=1))
-            for i in np.flatnonzero(left.any(axis=1)):
-                columns = np.flatnonzero(left[i])
-                total[i, used] += np.bitwise_count(right[np.ix_(used, columns)] & left[i, columns]).sum(axis=1, dtype=np.int64)
+    def pairs(key: tuple, total: np.ndarray) -> pa.RecordBatch:
+        space, a, b, _ = key
+        i, j = np.nonzero(total)
+        keep = (a * block + i) <= (b * block + j)
+        i, j = i[keep], j[keep]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([space] * len(i), pa.string()), pa.array(a * block + i), pa.array(b * block + j), pa.array(total[i, j])],
+            ["space", "no_a", "no_b", "shared"],
+        )
+
+    def add(total: np.ndarray, key: tuple, held: list[np.ndarray]) -> None:
+        """Add one range's intersections."""
+        no, offset, word = np.concatenate(held, axis=1)
+        word = word.view(np.uint64)
+        sides = []
+        for number in key[1:3]:
+            dense = np.zeros((block, RANGE_WORDS), np.uint64)
+            mine = no // block == number
+            np.bitwise_or.at(dense, (no[mine] % block, offset[mine]), word[mine])
+            sides.append(dense)
+        left, right = sides
+        used = np.flatnonzero(right.any(axis=1))
+        for i in np.flatnonzero(left.any(axis=1)):
+            columns = np.flatnonzero(left[i])
+            total[i, used] += np.bitwise_count(right[np.ix_(used, columns)] & left[i, columns]).sum(axis=1, dtype=np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, current = np.zeros((block, block), np.int64), [], None
         for batch in batches:
             space = batch.column("space").to_pylist()
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "range")])
@@ -69,19 +72,17 @@ def _intersections(block: int):
                 if start == end:
                     continue
                 key = (space[start], *(int(x) for x in keys[:, start]))
-                if key != current:
-                    close()
-                    current = key
+                if key != current and current is not None:
+                    add(total, current, held)
+                    held = []
+                    if key[:3] != current[:3]:
+                        yield pairs(current, total)
+                        total[:] = 0
+                current = key
                 held.append(data[:, start:end])
-        close()
-        for (space, a, b), total in sums.items():
-            i, j = np.nonzero(total)
-            keep = (a * block + i) <= (b * block + j)
-            i, j = i[keep], j[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([space] * len(i), pa.string()), pa.array(a * block + i), pa.array(b * block + j), pa.array(total[i, j])],
-                ["space", "no_a", "no_b", "shared"],
-            )
+        if current is not None:
+            add(total, current, held)
+            yield pairs(current, total)
 
     return run
 
