@@ -40,13 +40,13 @@ def main(arguments: list[str] | None = None) -> int:
         save_index(build_index(documents), options.index, mode="overwrite")
     else:
         context = BooleanContext(spark)
-        index = context.register_index("__table__", options.index)
+        index = context.register_index("index", options.index)
         if options.command == "stats":
             chunk_report(index.postings).show()
         else:
             asked = options.queries or [q for q in map(query_of_line, sys.stdin.read().splitlines()) if q]
             for text in asked:
-                print(context.count("__table__", text), flush=True)
+                print(context.count("index", text), flush=True)
     print(f"{(time.time() - began) * 1000:.0f} ms", file=sys.stderr)
     return 0
 

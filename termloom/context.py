@@ -20,6 +20,8 @@ from termloom.session import ship
 from termloom.sources.index_store import Index, build_index, load_index
 
 Query = str | Node | BooleanPredicateBuilder
+#: Terms of an index whose statistics a context remembers.
+REMEMBERED_TERMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -65,6 +67,12 @@ class BooleanContext:
         self.session_id = spark.sparkContext.applicationId
         self.session_start_time = datetime.now(timezone.utc)
         self._indexes: dict[str, Index] = {}
+        self._stats: dict[str, dict[str, TermStats | None]] = {}
+
+    @classmethod
+    def with_config(cls, config: dict[str, str]) -> BooleanContext:
+        """A context on a session with these settings."""
+        return cls(SparkSession.builder.config(map=config).getOrCreate())
 
     def register_index(self, name: str, index: Index | str) -> Index:
         """Register an index, or the one written at a path; its tables become the views ``<name>_postings`` and so on."""
@@ -76,6 +84,7 @@ class BooleanContext:
         for table in ("postings", "terms", "documents"):
             getattr(index, table).createOrReplaceTempView(f"{name}_{table}")
         self._indexes[name] = index
+        self._stats[name] = {}
         return index
 
     def index_documents(self, name: str, documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
@@ -88,9 +97,15 @@ class BooleanContext:
         return self._indexes[name]
 
     def stats(self, name: str, terms: list[str]) -> dict[str, TermStats]:
-        """Statistics of those terms that exist; as many rows as the query has terms."""
-        rows = lookup(self.index(name).terms, terms).select("term", "df", "selectivity").collect()
-        return {r["term"]: TermStats(r["df"], r["selectivity"]) for r in rows}
+        """Statistics of those terms that exist; the dictionary is asked once for each term."""
+        index, known = self.index(name), self._stats[name]
+        if len(known) > REMEMBERED_TERMS:
+            known.clear()
+        if new := [t for t in terms if t not in known]:
+            rows = lookup(index.terms, new).select("term", "df", "selectivity").collect()
+            found = {r["term"]: TermStats(r["df"], r["selectivity"]) for r in rows}
+            known.update((t, found.get(t)) for t in new)
+        return {t: known[t] for t in terms if known[t] is not None}
 
     def boolean(self, name: str, query: Query, use_stats: bool = True) -> BooleanQuery:
         """Plan a query: text in either language, a tree, or a builder.

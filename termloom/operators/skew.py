@@ -107,7 +107,10 @@ def key_profile(
         *[F.sum(f"_s{i}").alias(f"sum_{c}") for i, c in enumerate(sums)],
     )
     all_rows = bins.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    settled = _settle(base, bins.where("_bin IS NOT NULL"), list(quantiles))
+    spread = max(8, df.sparkSession.sparkContext.defaultParallelism)
+    # Bounded: at most ``spread`` keys have such a share of the rows.
+    hot = [r["_key"] for r in totals.where(F.col("rows") * spread >= all_rows).select("_key").collect()]
+    settled = _settle(base, hot, spread, bins.where("_bin IS NOT NULL"), list(quantiles))
     names = [f"q{q * 100:g}".replace(".", "_") for q in quantiles]
     wide = settled.groupBy("_key").agg(
         *[F.max(F.when(F.col("_q") == i, F.col("_value"))).alias(n) for i, n in enumerate(names)]
@@ -116,11 +119,15 @@ def key_profile(
     return joined.drop("_k2").withColumn("all_rows", F.lit(all_rows).cast("bigint")).withColumnRenamed("_key", key)
 
 
-def _settle(base: DataFrame, bins: DataFrame, quantiles: list[float]) -> DataFrame:
+def _settle(base: DataFrame, hot: list, spread: int, bins: DataFrame, quantiles: list[float]) -> DataFrame:
     """``_key, _q, _value`` for every key with values and every quantile."""
     found = materialise(_locate(bins, ["_key"], quantiles), "ranks")
     settled = [found.where("_value IS NOT NULL").select("_key", "_q", "_value")]
-    spread = max(8, base.sparkSession.sparkContext.defaultParallelism)
+
+    def is_hot(key: str) -> Column:
+        listed = F.coalesce(F.col(key).isin([k for k in hot if k is not None]), F.lit(False)) if set(hot) - {None} else F.lit(False)
+        return listed | (F.col(key).isNull() if None in hot else F.lit(False))
+
     while count := (remaining := found.where("_value IS NULL")).count():
         targets = remaining.select(F.col("_key").alias("_k"), "_q", "_rank", F.col("_lo").alias("_from"), F.col("_hi").alias("_to"))
         rows = base.where("_v IS NOT NULL").select("_key", "_v")
@@ -128,9 +135,11 @@ def _settle(base: DataFrame, bins: DataFrame, quantiles: list[float]) -> DataFra
         if count <= BROADCAST_ROWS:
             open_rows = rows.join(F.broadcast(targets), match)
         else:
-            # Every key's rows are dealt over ``spread`` salts, and its few ranges go to each of them.
-            salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-            dealt = rows.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(spread)).cast("int"))
+            # The rows of a hot key are dealt over ``spread`` salts, and its few ranges go to each of them.
+            none = F.lit(0).cast("bigint")
+            salts = F.when(is_hot("_k"), F.sequence(none, F.lit(spread - 1).cast("bigint"))).otherwise(F.array(none))
+            salted = targets.withColumn("_salt", F.explode(salts))
+            dealt = rows.withColumn("_s", F.when(is_hot("_key"), F.pmod(F.monotonically_increasing_id(), F.lit(spread))).otherwise(none))
             open_rows = dealt.join(salted, match & (F.col("_s") == F.col("_salt")))
         width = F.col("_to") - F.col("_from") + 1
         cut = F.floor((F.col("_v") - F.col("_from")).cast("double") * BINS / width.cast("double")).cast("int")

@@ -29,12 +29,13 @@ def metas(term_meta_temp: DataFrame) -> DataFrame:
     ``term`` is in compared form. ``nums_total`` is the sum of ``nums`` (null if
     the list is), ``blocks`` the set bits of ``distribution`` and ``docs`` the
     number of documents: ``nums_total``, or where that is null the rounded
-    ``selectivity * 512 * blocks`` (null if ``selectivity`` is null, NaN or
-    negative). Of rows with one ``meta_id`` the latest ``built_at`` stays; rows
+    ``selectivity * 512 * blocks`` (null if ``selectivity`` is null, negative or
+    not finite). Of rows with one ``meta_id`` the latest ``built_at`` stays; rows
     without ``meta_id`` belong to no meta and are left out.
     """
     blocks, total = set_bits("distribution"), list_total("nums")
-    sound = F.col("selectivity").isNotNull() & ~F.isnan("selectivity") & (F.col("selectivity") >= 0)
+    # NaN is greater than any number here, infinity included.
+    sound = F.col("selectivity").isNotNull() & (F.col("selectivity") >= 0) & (F.col("selectivity") < float("inf"))
     rows = term_meta_temp.where("meta_id IS NOT NULL").select(
         "meta_id", "built_at", compared_form("term").alias("term"), "selectivity", total.alias("nums_total"), blocks.alias("blocks")
     )

@@ -82,6 +82,8 @@ def test_context(spark, index, capsys):
     query.show()
     assert "HashAggregate" in capsys.readouterr().out
     assert spark.table("t_postings").count() == 20
+    assert set(context.stats("t", ["a", "missing"])) == set(context.stats("t", ["missing", "a"])) == {"a"}
+    assert BooleanContext.with_config({"spark.sql.shuffle.partitions": "4"}).session_id == context.session_id
     empty = context.boolean("t", "a AND missing")
     assert empty.plan.strategy == "empty" and empty.docs().count() == 0
 
