@@ -14,7 +14,8 @@ gives a word, the code corrects positions where another value is larger, the
 word's counts are taken off, and so on. Pass 2 counts the values of the decoded
 fingerprints exactly. What the exact counts leave of the heavy symbols then
 proves that no frequent value is missing; if it does not, the round is repeated
-with other hashes, and finally the groups in doubt are counted exactly.
+with other hashes and more groups, and finally the groups in doubt are counted
+exactly.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 from itertools import combinations, product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,8 +194,10 @@ def heavy_values(df: DataFrame, value: str, share: float = 1 / 140, hashes: int
     print_of: Column = F.xxhash64("_value")
     schema = f"{value} string, n bigint, n_approx bigint"
     known: dict[int, int] = {}
-    groups = 1 << max(4, int(np.ceil(np.log2(3 / share))))
+    # Few groups to begin with, as every task sends its counters: two frequent values to a group if there are as many as can be.
+    groups = 1 << max(4, int(np.ceil(np.log2(0.5 / share))))
     for seed in range(ROUNDS):
+        groups <<= 2 * bool(seed)
         cells = rows.select(print_of.alias("f")).mapInArrow(_sketch(hashes, groups, seed), "cell bigint, n bigint")
         counters = materialise(cells.groupBy("cell").agg(F.sum("n").alias("n")), "symbols")
         first = F.floor(F.col("cell") / 256) % LENGTH == 0
@@ -220,8 +224,12 @@ def heavy_values(df: DataFrame, value: str, share: float = 1 / 140, hashes: int
         if doubt is None:
             break
     else:
-        sent = F.udf(lambda f: bool(group_of(np.array([f]), hashes, groups, seed)[doubt[0], 0] in doubt[1]), "boolean")
-        rest = rows.where(sent(print_of)).groupBy("_value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        at, open_groups = doubt[0], np.array(sorted(doubt[1]))
+
+        def in_doubt(fingerprints: pd.Series) -> pd.Series:
+            return pd.Series(np.isin(group_of(fingerprints.to_numpy(), hashes, groups, seed)[at], open_groups))
+
+        rest = rows.where(F.pandas_udf(in_doubt, "boolean")(print_of)).groupBy("_value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
         counts = counts.unionByName(rest.withColumn("f", print_of)).dropDuplicates(["_value"])
     guesses = spark.createDataFrame(list(known.items()) or [(0, 0)], "f bigint, guess bigint")
     kept = counts.where(F.col("n") >= F.lit(least)).join(guesses, "f", "left")
