@@ -160,6 +160,9 @@ def _factored(kind: type, other: type, children: list[Node]) -> Node:
     if not common:
         return kind(tuple(children))
     rests = [[p for p in part if p not in common] for part in parts]
+    if not all(rests):
+        # One child is just what all share, and absorbs the others.
+        return common[0] if len(common) == 1 else other(tuple(common))
     inner = kind(tuple(r[0] if len(r) == 1 else other(tuple(r)) for r in rests))
     return other((*common, inner))
 

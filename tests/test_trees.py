@@ -113,6 +113,8 @@ def test_rewrites():
     assert simplify(And((a, a))) == a
     assert simplify(And((a, Or((a, b))))) == a
     assert simplify(Or((And((a, b)), And((a, c))))) == And((a, Or((b, c))))
+    assert simplify(Or((And((a, b)), And((a, b, c))))) == And((a, b))
+    assert simplify(And((Or((a, b)), Or((c, b, a))))) == Or((a, b))
     assert simplify(And((a, b)), ["b"]) == FALSE
     assert simplify(Or((a, b)), ["b"]) == a
     assert simplify(Or((a, And((b, c)))), ["a", "c"]) == FALSE
@@ -131,7 +133,7 @@ def _random_tree(rng, depth):
 
 def test_rewrites_keep_the_meaning():
     rng = random.Random(1)
-    for _ in range(300):
+    for _ in range(2000):
         tree = _random_tree(rng, 4)
         simple, clauses = simplify(tree), to_clauses(tree, 4096)
         for _ in range(20):
