@@ -2,19 +2,20 @@
 
 Every strategy but the forward scan reads only the query's terms, a filter that
 reaches the scan of a table sorted by term, and shuffles on the document, which
-no frequent term can skew.
+no frequent term can skew. ``postings`` has one row per term and document; the
+aggregating strategies do not depend on that.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.analysis import tokens
 from termloom.operators.postings import block_of
-from termloom.plans.ast import FALSE, And, Node, Not, Or, Term, matches_nothing_at_all, rebuild, terms_of, to_column
+from termloom.plans.ast import FALSE, And, Node, Not, Or, Term, matches_nothing_at_all, possible, rebuild, terms_of, to_column
 from termloom.plans.planner import BLOCK, Plan
 from termloom.session import spread
 
@@ -38,10 +39,20 @@ def by_pivot(postings: DataFrame, node: Node, documents: DataFrame | None = None
     return flags.where(to_column(node, {t: F.col(n) for t, n in names.items()}, F.lit(False))).select("doc_id")
 
 
+#: Terms whose presence one 64-bit mask holds.
+MASK_TERMS = 62
+
+
 def flat_and(postings: DataFrame, terms: list[str] | tuple[str, ...]) -> DataFrame:
-    """Documents with all of the terms: as many postings as terms."""
+    """Documents with all of the terms: a bit per term, and all bits set, however often a posting is repeated."""
     wanted = sorted(set(terms))
-    return _of_terms(postings, wanted).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select("doc_id")
+    parts = [wanted[i : i + MASK_TERMS] for i in range(0, len(wanted), MASK_TERMS)]
+    masks = []
+    for i, part in enumerate(parts):
+        bit = reduce(lambda e, t: e.when(F.col("term") == t[1], F.lit(1 << t[0]).cast("bigint")), enumerate(part), F)
+        masks.append(F.bit_or(bit).alias(f"m{i}"))
+    found = _of_terms(postings, wanted).groupBy("doc_id").agg(*masks)
+    return found.where(reduce(Column.__and__, (F.col(f"m{i}") == (1 << len(p)) - 1 for i, p in enumerate(parts)))).select("doc_id")
 
 
 def flat_or(postings: DataFrame, terms: list[str] | tuple[str, ...]) -> DataFrame:
@@ -54,32 +65,47 @@ def one_term(postings: DataFrame, term: str) -> DataFrame:
     return postings.where(F.col("term") == term).select("doc_id")
 
 
-def by_sets(postings: DataFrame, node: Node) -> DataFrame:
-    """``doc_id``: semi-joins for AND in the order of the tree, unions for OR, anti-joins for AND NOT."""
+def by_sets(postings: DataFrame, node: Node, documents: DataFrame | None = None) -> DataFrame:
+    """``doc_id``: semi-joins for AND in the order of the tree, unions for OR, anti-joins for NOT.
 
-    def make(current: Node, below: tuple) -> DataFrame:
+    Every part of the tree is a set of documents or the rest of all documents
+    outside of one; the latter are only made where the whole tree comes to that,
+    which needs ``documents`` (``doc_id``).
+    """
+    union = lambda sets: reduce(DataFrame.union, sets).distinct() if len(sets) > 1 else sets[0]
+    both = lambda sets: reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), sets)
+    less = lambda found, sets: reduce(lambda a, b: a.join(b, "doc_id", "left_anti"), sets, found)
+
+    def make(current: Node, below: tuple) -> tuple[bool, DataFrame]:
         if isinstance(current, Term):
-            return one_term(postings, current.text)
-        if isinstance(current, Or):
-            return reduce(DataFrame.union, below).distinct()
-        if isinstance(current, And):
-            kept = [d for c, d in zip(current.children, below) if not isinstance(c, Not)]
-            dropped = [d for c, d in zip(current.children, below) if isinstance(c, Not)]
-            if kept:
-                found = reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), kept)
-                return reduce(lambda a, b: a.join(b, "doc_id", "left_anti"), dropped, found)
+            return True, one_term(postings, current.text)
         if isinstance(current, Not):
-            return below[0]  # what the conjunction above takes away
-        raise ValueError(f"sets cannot express {current}; use the pivot")
+            return not below[0][0], below[0][1]
+        if not isinstance(current, And | Or):
+            return True, postings.select("doc_id").limit(0)
+        inside, outside = ([d for kept, d in below if kept is side] for side in (True, False))
+        if isinstance(current, And):
+            return (True, less(both(inside), outside)) if inside else (False, union(outside))
+        return (False, less(both(outside), inside)) if outside else (True, union(inside))
+
+    kept, found = rebuild(node, make)
+    if kept:
+        return found
+    if documents is None:
+        raise ValueError("this query matches documents without any of its terms: give the documents")
+    return documents.select("doc_id").join(found, "doc_id", "left_anti")
 
-    return rebuild(node, make)
+
+def bitmap_and(bitmaps: DataFrame, terms: list[str] | tuple[str, ...]) -> DataFrame:
+    """``bucket, bitmap``: documents with all terms; a bucket that lacks a term is left out."""
+    wanted = sorted(set(terms))
+    held = _of_terms(bitmaps, wanted).groupBy("bucket").agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.count(F.lit(1)).alias("k"))
+    return held.where(F.col("k") == len(wanted)).select("bucket", "bitmap")
 
 
 def bitmap_and_count(bitmaps: DataFrame, terms: list[str] | tuple[str, ...]) -> DataFrame:
     """``n``: documents with all terms, counted on bitmaps; a bucket that lacks a term has none."""
-    wanted = sorted(set(terms))
-    both = _of_terms(bitmaps, wanted).groupBy("bucket").agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.count(F.lit(1)).alias("k"))
-    return both.where(F.col("k") == len(wanted)).agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("n"))
+    return bitmap_and(bitmaps, terms).agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("n"))
 
 
 def bitmap_or_count(bitmaps: DataFrame, terms: list[str] | tuple[str, ...]) -> DataFrame:
@@ -99,15 +125,20 @@ def by_scan(documents: DataFrame, node: Node, doc_id: str = "doc_id", text: str
 def candidate_blocks(postings: DataFrame, node: Node, size: int = BLOCK) -> DataFrame:
     """``block``: blocks that can hold a match, the tree evaluated on which blocks hold its terms.
 
-    Only for trees without ``Not``: a block that holds a term holds documents without it too.
+    A block that holds a term holds documents without it too, so a ``Not`` rules
+    no block out. A tree that then rules out none at all is refused.
     """
-    return by_pivot(postings.select("term", block_of(size=size).alias("doc_id")), node).withColumnRenamed("doc_id", "block")
+    if (needed := possible(node)) is None:
+        raise ValueError(f"any block can hold a match of {node}")
+    return by_pivot(postings.select("term", block_of(size=size).alias("doc_id")), needed).withColumnRenamed("doc_id", "block")
 
 
 def pruned(postings: DataFrame, node: Node, size: int = BLOCK) -> DataFrame:
-    """The query's postings in its candidate blocks only."""
-    blocks = candidate_blocks(postings, node, size)
-    return _of_terms(postings, terms_of(node)).withColumn("block", block_of(size=size)).join(blocks, "block", "left_semi").drop("block")
+    """The query's postings in its candidate blocks only; all of them if no block can be ruled out."""
+    rows = _of_terms(postings, terms_of(node))
+    if possible(node) is None:
+        return rows
+    return rows.withColumn("block", block_of(size=size)).join(candidate_blocks(postings, node, size), "block", "left_semi").drop("block")
 
 
 def run(plan: Plan, postings: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -122,7 +153,7 @@ def run(plan: Plan, postings: DataFrame, documents: DataFrame | None = None) ->
     if plan.strategy == "any":
         return flat_or(postings, plan.terms)
     if plan.strategy == "semi":
-        return by_sets(postings, node)
+        return by_sets(postings, node, documents)
     return by_pivot(postings, node, documents)
 
 

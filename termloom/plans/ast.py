@@ -196,6 +196,25 @@ def matches_nothing_at_all(node: Node) -> bool:
     return holds(node, frozenset())
 
 
+def possible(node: Node) -> Node | None:
+    """What a group of documents must hold between them for one of them to match: every ``Not`` taken as true.
+
+    None if that asks for nothing.
+    """
+
+    def make(current: Node, children: tuple) -> Node | None:
+        if isinstance(current, Not):
+            return None
+        if isinstance(current, And):
+            kept = tuple(c for c in children if c is not None)
+            return And(kept) if len(kept) > 1 else kept[0] if kept else None
+        if isinstance(current, Or):
+            return None if None in children else Or(children)
+        return current
+
+    return rebuild(node, make)
+
+
 def holds(node: Node, present: frozenset[str] | set[str]) -> bool:
     """Whether a document with just these of the query's terms matches."""
 
