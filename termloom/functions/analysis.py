@@ -1,6 +1,7 @@
 """Text analyzers as column expressions, with Python twins for the query side.
 
-A token is a maximal run of Unicode letters and digits. The index analyzer keeps
+A token is a maximal run of characters that are alphabetic or numeric in Unicode,
+so vowel signs, which belong to their letters, do not cut a word. The index analyzer keeps
 tokens shorter than 40 bytes of UTF-8, the query analyzer those shorter than 60,
 and both lower-case. The splitter of the dense-matrix baseline cuts at
 ``space , . ; -``, keeps parts longer than two bytes and upper-cases them.
@@ -8,15 +9,14 @@ and both lower-case. The splitter of the dense-matrix baseline cuts at
 
 from __future__ import annotations
 
-import re
-
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INDEX_LIMIT = 40
 QUERY_LIMIT = 60
 TOKEN_PATTERN = r"[\p{IsAlphabetic}\p{N}]+"
-_PYTHON_TOKEN = re.compile(r"[^\W_]+")
+_PYTHON_TOKEN = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 _BLANKS = " \t\n\r\x0b\x0c"
 
 

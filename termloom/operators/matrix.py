@@ -46,3 +46,10 @@ def bitand(matrix: DataFrame, a: str, b: str) -> DataFrame:
 def bitor(matrix: DataFrame, a: str, b: str) -> DataFrame:
     """Documents with either word, by the bitwise or of the cells."""
     return matrix.select("doc_id", a, b).withColumn("cache", F.col(a).bitwiseOR(F.col(b))).where(F.col("cache") == 1).drop("cache")
+
+
+def pair_counts(matrix: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``a, b, n``: documents with both words of every pair of columns, all pairs in one pass over the matrix."""
+    counts = [F.coalesce(F.sum(F.col(a).bitwiseAND(F.col(b)).cast("bigint")), F.lit(0)) for a, b in pairs]
+    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), n.alias("n")) for (a, b), n in zip(pairs, counts)]
+    return matrix.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.analysis import tokens
+from termloom.functions.analysis import raw_tokens, tokens
 from termloom.operators.ranking import global_rank
 from termloom.plans.planner import BLOCK
 from termloom.session import spread
@@ -93,13 +93,29 @@ def term_groups(terms: DataFrame, size: int = 100) -> DataFrame:
 
 
 def sample_terms(terms: DataFrame, n: int = 100) -> DataFrame:
-    """``n`` terms that look drawn at random, the same ones every time."""
-    return terms.select("term").orderBy(F.xxhash64("term"), "term").limit(n)
+    """``n`` terms that look drawn at random, the same ones every time: those whose MD5 comes first."""
+    return terms.select("term").orderBy(F.md5(F.col("term").cast("binary")), "term").limit(n)
 
 
-def term_length_histogram(terms: DataFrame) -> DataFrame:
-    """``n_bytes, n_terms``: terms by their length in UTF-8."""
-    return terms.groupBy(F.octet_length("term").cast("bigint").alias("n_bytes")).agg(F.count(F.lit(1)).alias("n_terms"))
+#: Common English words without which word lengths are counted (fixed values).
+STOP_WORDS = tuple(
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
+    they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having
+    do does did doing a an the and but if or because as until while of at by for with about against between into through during
+    before after above below to from up down in out on off over under again further then once here there when where why how all any
+    both each few more most other some such no nor not only own same so than too very s t can will just don should now""".split()
+)
+
+
+def word_length_histogram(documents: DataFrame, text: str = "text", stop_words: tuple[str, ...] | list[str] = STOP_WORDS) -> DataFrame:
+    """``n_bytes, n_words``: how many words of the texts, stop words left out, have each length in UTF-8.
+
+    Every occurrence counts. Words are taken as stored, of any length and case, so
+    a capitalised stop word is a word like others.
+    """
+    words = spread(documents.select(F.col(text).alias("text"))).select(F.explode(raw_tokens("text")).alias("word"))
+    kept = words.where(~F.col("word").isin(list(stop_words))) if stop_words else words
+    return kept.groupBy(F.octet_length("word").cast("bigint").alias("n_bytes")).agg(F.count(F.lit(1)).alias("n_words"))
 
 
 def corpus_running_total(documents: DataFrame, source: str = "source") -> DataFrame:

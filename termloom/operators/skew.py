@@ -25,6 +25,41 @@ MANTISSA_BITS = 5
 BROADCAST_ROWS = 100_000
 
 
+#: Bytes of a table that may be broadcast in ``join_unique``.
+BROADCAST_BYTES = 32_000_000
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` joined with the row of ``table`` that has their key; null keys are equal to each other.
+
+    ``table`` has at most one row per key and is read to measure it. One of up to
+    ``limit`` bytes is broadcast. Else both are shuffled, and the rows of keys with
+    a large share of ``rows`` are dealt over many tasks, their row of the table to
+    each of these. ``how`` is ``left`` or ``inner``.
+    """
+    other = table.withColumnRenamed(key, "_k")
+    match = F.col(key).eqNullSafe(F.col("_k"))
+    if (table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= limit:
+        return rows.join(F.broadcast(other), match, how).drop("_k")
+    spread = max(8, rows.sparkSession.sparkContext.defaultParallelism)
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    # Bounded: at most ``spread`` keys have such a share of the rows.
+    hot = [r[0] for r in sizes.where(F.col("n") * spread >= total).select(key).collect()]
+    none = F.lit(0).cast("bigint")
+    salts = F.when(_listed("_k", hot), F.sequence(none, F.lit(spread - 1).cast("bigint"))).otherwise(F.array(none))
+    salted = other.withColumn("_salt", F.explode(salts))
+    dealt = rows.withColumn("_s", F.when(_listed(key, hot), F.pmod(F.monotonically_increasing_id(), F.lit(spread))).otherwise(none))
+    return dealt.join(salted, match & (F.col("_s") == F.col("_salt")), how).drop("_k", "_s", "_salt")
+
+
+def _listed(key: str, values: list) -> Column:
+    """Whether a key is one of some values, null included; never null itself."""
+    some = [v for v in values if v is not None]
+    found = F.coalesce(F.col(key).isin(some), F.lit(False)) if some else F.lit(False)
+    return found | (F.col(key).isNull() if None in values else F.lit(False))
+
+
 def _first_bin(value: Column) -> Column:
     """Bin of a whole number, monotone in it: sign, exponent and leading bits."""
     shift = lambda bits: F.call_function("shiftright", size, bits)
@@ -124,10 +159,6 @@ def _settle(base: DataFrame, hot: list, spread: int, bins: DataFrame, quantiles:
     found = materialise(_locate(bins, ["_key"], quantiles), "ranks")
     settled = [found.where("_value IS NOT NULL").select("_key", "_q", "_value")]
 
-    def is_hot(key: str) -> Column:
-        listed = F.coalesce(F.col(key).isin([k for k in hot if k is not None]), F.lit(False)) if set(hot) - {None} else F.lit(False)
-        return listed | (F.col(key).isNull() if None in hot else F.lit(False))
-
     while count := (remaining := found.where("_value IS NULL")).count():
         targets = remaining.select(F.col("_key").alias("_k"), "_q", "_rank", F.col("_lo").alias("_from"), F.col("_hi").alias("_to"))
         rows = base.where("_v IS NOT NULL").select("_key", "_v")
@@ -137,9 +168,9 @@ def _settle(base: DataFrame, hot: list, spread: int, bins: DataFrame, quantiles:
         else:
             # The rows of a hot key are dealt over ``spread`` salts, and its few ranges go to each of them.
             none = F.lit(0).cast("bigint")
-            salts = F.when(is_hot("_k"), F.sequence(none, F.lit(spread - 1).cast("bigint"))).otherwise(F.array(none))
+            salts = F.when(_listed("_k", hot), F.sequence(none, F.lit(spread - 1).cast("bigint"))).otherwise(F.array(none))
             salted = targets.withColumn("_salt", F.explode(salts))
-            dealt = rows.withColumn("_s", F.when(is_hot("_key"), F.pmod(F.monotonically_increasing_id(), F.lit(spread))).otherwise(none))
+            dealt = rows.withColumn("_s", F.when(_listed("_key", hot), F.pmod(F.monotonically_increasing_id(), F.lit(spread))).otherwise(none))
             open_rows = dealt.join(salted, match & (F.col("_s") == F.col("_salt")))
         width = F.col("_to") - F.col("_from") + 1
         cut = F.floor((F.col("_v") - F.col("_from")).cast("double") * BINS / width.cast("double")).cast("int")

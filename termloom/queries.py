@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.context import BooleanContext
-from termloom.operators import boolean, matrix, postings
+from termloom.operators import boolean, containers, matrix, postings
 from termloom.operators.batch import count_queries
 from termloom.operators.skew import key_profile
-from termloom.plans.ast import Node, flatten, simplify
+from termloom.plans.ast import And, Node, Not, Or, Term, flatten, simplify
 from termloom.plans.builder import BooleanPredicateBuilder
 from termloom.plans.parser import parse_query
+from termloom.session import scratch_path
+from termloom.sources.corpus import number_documents, read_directory
+from termloom.sources.index_store import load_or_build
 from termloom.sources.query_log import logged_queries
 from termloom.sources.tables import items, metas, table
 
@@ -49,6 +52,8 @@ BATCH = ("and2", "nested_and_or", "nested_or_and", "equal_precedence", "missing_
 WORDS = ["CASTLE", "RIVER", "MUSEUM", "THE", "MARKT", "VIEILLE"]
 BLOCK_TERMS = ["the", "of", "castle", "nicht"]
 PREFIX = "mar"
+#: Pairs of columns of the dense matrix.
+PAIRS = [("w0", "w1"), ("w0", "w3"), ("w1", "w3"), ("w2", "w3"), ("w4", "w5")]
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,9 +125,12 @@ def frequency_columns(spark: SparkSession, folder: str) -> DataFrame:
     return boolean.frequency_columns(p, boolean.flat_and(p, ["the", "castle"]), ["the", "castle"])
 
 
+def _batch(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, BOOLEAN[name][0]) for i, name in enumerate(BATCH)], "query_id bigint, query string")
+
+
 def query_log_batch(spark: SparkSession, folder: str) -> DataFrame:
-    asked = spark.createDataFrame([(i, BOOLEAN[name][0]) for i, name in enumerate(BATCH)], "query_id bigint, query string")
-    return count_queries(asked, _postings(spark, folder))
+    return count_queries(_batch(spark), _postings(spark, folder))
 
 
 def query_log_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,6 +139,60 @@ def query_log_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_queries(logged_queries(table(spark, folder, "query_log")), indexed)
 
 
+def _not_both() -> Node:
+    return Or((And((Term("the"), Not(Term("castle")))), And((Not(Term("of")), Not(Or((Term("und"), Term("river"))))))))
+
+
+def not_by_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """n: a tree with negations on both sides of an OR, by joins of sets."""
+    ids = _documents(spark, folder).where("doc_id IS NOT NULL").select("doc_id")
+    return _count(boolean.by_sets(_postings(spark, folder), simplify(_not_both()), ids))
+
+
+def pruned_not(spark: SparkSession, folder: str) -> DataFrame:
+    tree = simplify(And((Term("nicht"), Not(And((Term("the"), Term("castle")))), Or((Term("museum"), Not(Term("of")))))))
+    return _count(boolean.by_pivot(boolean.pruned(_postings(spark, folder), tree), tree))
+
+
+def stored_index_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """query_id, n over an index that was written and loaded again."""
+    context = BooleanContext(spark)
+    stored = load_or_build(spark, scratch_path(spark, "index"), _documents(spark, folder))
+    context.register_index("stored", stored)
+    return context.count_all("stored", _batch(spark))
+
+
+def stored_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(load_or_build(spark, scratch_path(spark, "index"), _documents(spark, folder)).terms)
+
+
+def json_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, id, n_chars of the documents written as JSON lines in a folder per source, read and numbered again."""
+    path = scratch_path(spark, "corpus")
+    written = _documents(spark, folder).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("id"), "text", "source")
+    written.write.partitionBy("source").json(path)
+    numbered = number_documents(read_directory(spark, path))
+    return numbered.select("doc_id", "id", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def bitmap_and_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return containers.bitmap_ids(boolean.bitmap_and(postings.build_bitmaps(_postings(spark, folder)), ["the", "of", "river"]))
+
+
+def container_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """term, df, first_doc, last_doc of every term, read back from compressed containers."""
+    ids = containers.container_postings(containers.build_containers(_postings(spark, folder)))
+    return ids.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+def matrix_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return matrix.pair_counts(dense_matrix(spark, folder), PAIRS)
+
+
+def term_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return postings.word_length_histogram(_documents(spark, folder))
+
+
 def candidate_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return boolean.candidate_blocks(_postings(spark, folder), _tree("nicht AND (castle OR museum)"))
 
@@ -232,7 +294,8 @@ def queries() -> dict[str, Query]:
         tokenize_stats, builder_must_should, builder_must_not, count_valid, matching_docs, docs_with_tf, frequency_columns,
         query_log_batch, query_log_counts, candidate_blocks, pruned_count, rank_order, bitmap_and, bitmap_or, semi_join_and,
         union_or, forward_scan, dense_matrix, split_join, split_join_bitand, split_bitand, split_bitor, corpus_running_total,
-        p2_found, p2_key_totals,
+        not_by_sets, pruned_not, stored_index_counts, stored_dictionary, json_corpus, bitmap_and_ids, container_docs, matrix_pairs,
+        term_length_histogram, p2_found, p2_key_totals,
     )
     over = {
         "postings_tf": lambda p: p,
@@ -245,7 +308,6 @@ def queries() -> dict[str, Query]:
         "prefix_terms": lambda p: postings.prefix_terms(_dictionary(p), PREFIX),
         "term_groups": lambda p: postings.term_groups(p.select("term").distinct()),
         "sample_terms": lambda p: postings.sample_terms(p.select("term").distinct()),
-        "term_length_histogram": lambda p: postings.term_length_histogram(p.select("term").distinct()),
     }
     return (
         {name: _boolean(text) for name, (text, _) in BOOLEAN.items()}
@@ -257,6 +319,21 @@ def queries() -> dict[str, Query]:
 _TOKENS = r"""raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS token FROM documents),
 tok AS (SELECT doc_id, lower(token) AS term FROM raw WHERE octet_length(encode(token)) < 40)"""
 _POSTING = f"{_TOKENS}, posting AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY term, doc_id)"
+_LOG = r"""item AS (SELECT seq, min(text) AS text FROM wiki_item WHERE seq IS NOT NULL GROUP BY seq),
+    raw AS (SELECT seq, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS token FROM item),
+    posting AS (SELECT DISTINCT seq, lower(token) AS term FROM raw WHERE octet_length(encode(token)) < 40),
+    latest AS (SELECT query_id, line FROM query_log WHERE query_id IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY asked_at DESC NULLS LAST, line DESC NULLS LAST) = 1),
+    asked AS (SELECT query_id, CASE WHEN contains(line, chr(9)) THEN split_part(line, chr(9), 2) END AS query FROM latest),
+    form AS (SELECT DISTINCT query, CASE WHEN contains(query, '(') THEN 'nested' WHEN contains(query, ' OR ') THEN 'any'
+        WHEN contains(query, ' AND ') OR starts_with(query, '+') THEN 'all' ELSE 'any' END AS kind FROM asked WHERE query <> ''),
+    word AS (SELECT query, kind, unnest(list_filter(regexp_extract_all(query, '\w+'), lambda w: w NOT IN ('AND', 'OR'))) AS w,
+        generate_subscripts(list_filter(regexp_extract_all(query, '\w+'), lambda w: w NOT IN ('AND', 'OR')), 1) AS place FROM form),
+    wanted AS (SELECT query, kind, lower(w) AS term, min(place) AS place FROM word GROUP BY ALL),
+    demand AS (SELECT query, count(*) AS n_terms FROM wanted GROUP BY query),
+    met AS (SELECT query, any_value(kind) AS kind, seq, count(*) AS hits, bool_or(place = 1) AS head FROM wanted JOIN posting USING (term) GROUP BY query, seq),
+    answer AS (SELECT query, count(*) AS n FROM met JOIN demand USING (query)
+        WHERE CASE kind WHEN 'all' THEN hits = n_terms WHEN 'any' THEN true ELSE head AND hits > 1 END GROUP BY query)"""
 _META = r"""meta AS (
     SELECT meta_id, min(lower(trim(term, E' \t\n\r\x0b\x0c'))) AS term, any_value(distribution) AS distribution, any_value(nums) AS nums
     FROM term_meta_temp WHERE meta_id IS NOT NULL GROUP BY meta_id)"""
@@ -294,6 +371,7 @@ _CELLS = (
 
 def oracle_sql() -> dict[str, str]:
     listed = ", ".join(f"'{t}'" for t in BLOCK_TERMS)
+    stop_words = ", ".join(f"'{w}'" for w in postings.STOP_WORDS)
     pruned = "{nicht} AND ({castle} OR {museum})"
     batch = " UNION ALL ".join(f"SELECT {i} AS query_id, count(*) AS n FROM ({_matches(BOOLEAN[name][1])})" for i, name in enumerate(BATCH))
     return {name: _counted(meaning) for name, (_, meaning) in BOOLEAN.items()} | {
@@ -347,8 +425,26 @@ def oracle_sql() -> dict[str, str]:
         "term_groups": f"""WITH {_TOKENS}, t AS (SELECT DISTINCT term FROM tok),
             r AS (SELECT term, row_number() OVER (ORDER BY encode(term)) - 1 AS term_id FROM t)
             SELECT term, term_id, term_id // 100 AS term_group FROM r""",
-        "term_length_histogram": f"""WITH {_TOKENS}, t AS (SELECT DISTINCT term FROM tok)
-            SELECT CAST(octet_length(encode(term)) AS BIGINT) AS n_bytes, count(*) AS n_terms FROM t GROUP BY ALL""",
+        "term_length_histogram": f"""WITH {_TOKENS} SELECT CAST(octet_length(encode(token)) AS BIGINT) AS n_bytes, count(*) AS n_words
+            FROM raw WHERE token NOT IN ({stop_words}) GROUP BY ALL""",
+        "sample_terms": f"WITH {_TOKENS}, t AS (SELECT DISTINCT term FROM tok) SELECT term FROM t ORDER BY md5(term), term LIMIT 100",
+        "query_log_counts": f"""WITH {_LOG} SELECT query_id, CASE WHEN query <> '' THEN coalesce(n, 0) END AS n
+            FROM asked LEFT JOIN answer USING (query)""",
+        "not_by_sets": f"""WITH {_TOKENS}, held AS (SELECT d.doc_id, bool_or(term = 'the') AS a, bool_or(term = 'castle') AS b,
+                bool_or(term = 'of') AS c, bool_or(term IN ('und', 'river')) AS e
+                FROM documents d LEFT JOIN tok ON tok.doc_id = d.doc_id WHERE d.doc_id IS NOT NULL GROUP BY d.doc_id)
+            SELECT count(*) AS n FROM held WHERE (coalesce(a, false) AND NOT coalesce(b, false))
+            OR (NOT coalesce(c, false) AND NOT coalesce(e, false))""",
+        "pruned_not": _counted("{nicht} AND NOT ({the} AND {castle}) AND ({museum} OR NOT {of})"),
+        "stored_index_counts": f"WITH {_TOKENS} {batch}",
+        "stored_dictionary": f"WITH {_DICTIONARY} SELECT * FROM term_row",
+        "json_corpus": """SELECT row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS doc_id, CAST(doc_id AS VARCHAR) AS id,
+            length(text) AS n_chars FROM documents WHERE doc_id IS NOT NULL""",
+        "bitmap_and_ids": f"WITH {_TOKENS} {_matches('{the} AND {of} AND {river}')}",
+        "container_docs": f"""WITH {_POSTING} SELECT term, count(*) AS df, min(doc_id) AS first_doc, max(doc_id) AS last_doc
+            FROM posting GROUP BY term""",
+        "matrix_pairs": f"WITH {_CELLS} " + " UNION ALL ".join(
+            f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} = 1 AND {b} = 1) AS n FROM cell" for a, b in PAIRS),
         "p2_found": f"""WITH {_META} SELECT term FROM meta WHERE term IS NOT NULL
             GROUP BY term HAVING count(*) * 100 >= (SELECT count(*) FROM meta)""",
         "p2_key_totals": f"""WITH {_META}, one AS (

@@ -7,6 +7,8 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,11 +42,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage: what follows reads files that outlive any executor, and reads
     only the columns it needs. The files go away when the interpreter ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/termloom/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with the materialised tables."""
+    path = f"{shared_folder(spark)}/termloom/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+@contextmanager
+def discarding() -> Iterator[None]:
+    """Delete what is materialised within the block when it ends; results must have been read or written by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        forget_materialised(before)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -57,9 +74,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def forget_materialised() -> None:
-    """Delete every table that ``materialise`` has written and not yet deleted."""
-    while _written:
+def forget_materialised(keep: int = 0) -> None:
+    """Delete the tables that ``materialise`` has written and not yet deleted, but for the first ``keep``."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             context = spark.sparkContext

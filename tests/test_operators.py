@@ -4,8 +4,9 @@ import pytest
 
 from termloom.context import BooleanContext
 from termloom.errors import UnknownIndexError
-from termloom.operators import boolean, matrix, postings
-from termloom.operators.batch import compile_query, count_queries
+from termloom.functions.analysis import query_tokens
+from termloom.operators import batch, boolean, containers, matrix, postings, skew
+from termloom.operators.batch import compile_query, count_queries, needed_terms
 from termloom.operators.ranking import global_rank
 from termloom.plans.ast import And, Not, Or, Term, holds, simplify
 from termloom.plans.builder import BooleanPredicateBuilder
@@ -88,6 +89,106 @@ def test_context(spark, index, capsys):
     assert empty.plan.strategy == "empty" and empty.docs().count() == 0
 
 
+def test_not_by_sets_against_brute_force(spark, lists, index):
+    rng = random.Random(12)
+
+    def grow(depth):
+        kind = rng.choice([Term, Not, And, Or]) if depth else Term
+        if kind is Term:
+            return Term(rng.choice("abcd"))
+        return Not(grow(depth - 1)) if kind is Not else kind((grow(depth - 1), grow(depth - 1)))
+
+    trees = [grow(3) for _ in range(12)] + [Or((Term("b"), Not(Term("a")))), Not(Term("a")), And((Not(Term("a")), Not(Term("b"))))]
+    for tree in trees:
+        expected = [d for d in range(20) if holds(tree, {t for t in LISTS if d in LISTS[t]})]
+        assert ids(boolean.by_sets(lists, tree, index.documents).distinct()) == expected, tree
+        assert ids(boolean.by_pivot(boolean.pruned(lists, tree, 4), tree, index.documents)) == expected, tree
+    with pytest.raises(ValueError, match="documents"):
+        boolean.by_sets(lists, Not(Term("a")))
+    with pytest.raises(ValueError, match="block"):
+        boolean.candidate_blocks(lists, Or((Term("b"), Not(Term("a")))))
+
+
+def test_not_in_blocks_that_hold_the_term(spark):
+    p = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("b", 1, 1), ("b", 600, 1), ("c", 3, 1)], "term string, doc_id bigint, tf bigint")
+    documents = spark.createDataFrame([(1,), (2,), (3,), (600,)], "doc_id bigint")
+    tree = And((Term("a"), Not(Term("b"))))
+    assert ids(boolean.by_pivot(boolean.pruned(p, tree), tree)) == [2]
+    assert ids(boolean.candidate_blocks(p, tree)) == [0]
+    assert ids(boolean.by_sets(p, Or((Term("b"), Not(Term("a")))), documents)) == [1, 3, 600]
+
+
+def test_repeated_postings(spark):
+    p = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 2, 1), ("b", 2, 1), ("b", 2, 1)], "term string, doc_id bigint, tf bigint")
+    assert ids(boolean.flat_and(p, ["a", "b"])) == [2]
+    many = [f"t{i}" for i in range(130)]
+    wide = spark.createDataFrame([(t, d, 1) for t in many for d in (1, 2) if (t, d) != ("t129", 2)], "term string, doc_id bigint, tf bigint")
+    assert ids(boolean.flat_and(wide, many)) == [1] and ids(boolean.flat_and(wide, many[:129])) == [1, 2]
+    asked = spark.createDataFrame([(1, "a AND b"), (2, "a OR b")], "query_id bigint, query string")
+    assert {r.query_id: r.n for r in count_queries(asked, p).collect()} == {1: 1, 2: 2}
+
+
+def test_containers(spark):
+    rng = random.Random(2)
+    sets = {"one": {5}, "run": set(range(100, 9000)), "dense": set(rng.sample(range(40_000), 20_000)), "sparse": set(rng.sample(range(10**6), 300)), "all": set(range(1 << 14))}
+    rows = [(t, d) for t, s in sets.items() for d in s] + [("one", 5), (None, 3), ("one", None)]
+    held = containers.build_containers(spark.createDataFrame(rows, "term string, doc_id bigint").repartition(5))
+    kinds = {r.term: r.encoding for r in held.where("bucket = 0").collect()}
+    assert kinds["dense"] == "bitmap" and kinds["run"] == "runs" == kinds["all"] and kinds["one"] == "ids"
+    found = {}
+    for r in containers.container_postings(held).collect():
+        found.setdefault(r.term, []).append(r.doc_id)
+    assert {t: sorted(d) for t, d in found.items()} == {t: sorted(s) for t, s in sets.items()}
+    assert max(len(r.data) for r in held.collect()) <= 2048 and held.where("term = 'one'").first().n_docs == 1
+    p = spark.createDataFrame([("a", 3, 1), ("a", 70_000, 1), ("b", 70_000, 1)], "term string, doc_id bigint, tf bigint")
+    bitmaps = postings.build_bitmaps(p)
+    assert ids(containers.bitmap_ids(boolean.bitmap_and(bitmaps, ["a"]))) == [3, 70_000]
+    assert ids(containers.bitmap_ids(boolean.bitmap_and(bitmaps, ["a", "b"]))) == [70_000]
+
+
+def test_query_batch_over_buckets_and_lots(spark, monkeypatch):
+    rng = random.Random(9)
+    lists = {t: sorted(rng.sample(range(60_000), n)) for t, n in (("a", 30_000), ("b", 20_000), ("c", 500), ("d", 40))}
+    p = spark.createDataFrame([(t, d, 1) for t, x in lists.items() for d in x], "term string, doc_id bigint, tf bigint")
+    texts = ["a", "d", "a AND b", "a OR b", "c AND d", "c OR d", "a AND (c OR d)", "c OR (a AND b)", "(a AND c) OR (b AND d)", "a AND zz", "c OR zz"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id bigint, query string")
+    held = {t: set(x) for t, x in lists.items()}
+    wanted = {}
+    for i, text in enumerate(texts):
+        tree = parse_query(text)
+        wanted[i] = sum(holds(tree, {t for t in held if d in held[t]}) for d in set().union(*held.values()))
+    assert {r.query_id: r.n for r in count_queries(asked, p).collect()} == wanted
+    for name, value in (("LOT_SIZE", 60), ("BROADCAST_TERMS", 0)):
+        monkeypatch.setattr(batch, name, value)
+    assert {r.query_id: r.n for r in count_queries(asked, p, 10).collect()} == wanted
+
+
+def test_join_unique(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(200)] + [("x", 1), (None, 2), ("none", 3)], "k string, v bigint")
+    table = spark.createDataFrame([("hot", 10), ("x", 20), (None, 30), ("unused", 40)], "k string, w bigint")
+    for limit in (10**6, 0):
+        for how, extra in (("left", [("none", 3, None)]), ("inner", [])):
+            found = sorted(map(tuple, skew.join_unique(rows, table, "k", how, limit).collect()), key=repr)
+            assert found == sorted([*(("hot", i, 10) for i in range(200)), ("x", 1, 20), (None, 2, 30), *extra], key=repr)
+
+
+def test_word_lengths(spark):
+    documents = spark.createDataFrame([("the The château a",), ("chateau the",), (None,)], "text string")
+    assert {r.n_bytes: r.n_words for r in postings.word_length_histogram(documents).collect()} == {3: 1, 8: 1, 7: 1}
+    assert {r.n_bytes: r.n_words for r in postings.word_length_histogram(documents, stop_words=()).collect()} == {1: 1, 3: 3, 8: 1, 7: 1}
+
+
+def test_vowel_signs_belong_to_their_words(spark):
+    documents = spark.createDataFrame([(1, "हिन्दी में ⓐb")], "doc_id bigint, text string")
+    assert {r.term for r in postings.build_postings(documents).collect()} == {"हिन", "दी", "में", "ⓐb"} == set(query_tokens("हिन्दी में ⓐb"))
+
+
+def test_pair_counts(spark):
+    m = spark.createDataFrame([(1, 1, 1, 0), (2, 1, 1, 1), (3, 0, 1, 1)], "doc_id bigint, w0 tinyint, w1 tinyint, w2 tinyint")
+    assert sorted(map(tuple, matrix.pair_counts(m, [("w0", "w1"), ("w0", "w2"), ("w1", "w1")]).collect())) == [("w0", "w1", 2), ("w0", "w2", 1), ("w1", "w1", 3)]
+    assert [r.n for r in matrix.pair_counts(m.limit(0), [("w0", "w1")]).collect()] == [0]
+
+
 def test_candidate_blocks(lists):
     tree = simplify(parse_query("(a OR b) AND c"))
     assert ids(boolean.candidate_blocks(lists, tree, 10)) == [0, 1]
@@ -148,7 +249,8 @@ def test_query_batch(spark, lists):
     found = {r.query_id: r.n for r in count_queries(asked, lists).collect()}
     assert [found[i] for i in range(len(texts))] == expected
     assert found[99] == 5
-    assert compile_query(wide)[1] is None
+    assert compile_query("+a +(b c)") == ["a", "b", "c", -2, 2]
+    assert needed_terms(["a", "b", "c", -2, 2]) == ["a"] and sorted(needed_terms(["a", "b", 2, "c", -2])) in (["a", "c"], ["b", "c"])
     assert count_queries(asked.limit(0), lists).count() == 0
 
 

@@ -63,7 +63,12 @@ def test_stream(spark, tmp_path):
     postings, terms = read_streamed(spark, str(target))
     assert sorted(map(tuple, postings.collect())) == [("fox", 1, 1), ("red", 1, 1), ("red", 2, 2)]
     assert {r.term: (r.df, r.ctf) for r in terms.collect()} == {"fox": (1, 1), "red": (2, 3)}
+    write(source / "3.json", [{"doc_id": 1, "text": "blue fox", "at": "2020-01-01T00:20:00Z"}, {"doc_id": 2, "text": None, "at": None}, {"doc_id": None, "text": "x"}])
+    index_stream(stream, str(target), str(tmp_path / "check"), availableNow=True).awaitTermination(120)
+    postings, terms = read_streamed(spark, str(target))
+    assert sorted(map(tuple, postings.collect())) == [("blue", 1, 1), ("fox", 1, 1)]
+    assert sorted(r.term for r in terms.collect()) == ["blue", "fox"]
     counted = running_counts(stream, "at").writeStream.outputMode("complete").format("memory").queryName("arrivals")
     running = counted.option("checkpointLocation", str(tmp_path / "check2")).trigger(availableNow=True).start()
     running.awaitTermination(120)
-    assert sorted(r.n_docs for r in spark.table("arrivals").collect() if r.start is not None) == [1, 1]
+    assert sorted(r.n_docs for r in spark.table("arrivals").collect() if r.start is not None) == [1, 2]
