@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,16 +49,12 @@ def compile_query(query: str | None) -> list[str | int] | None:
     return program
 
 
-def _compiled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        made = [compile_query(q) for q in part["query"]]
-        yield pd.DataFrame(
-            {
-                "query": part["query"],
-                "program": [None if m is None else json.dumps(m) for m in made],
-                "terms": [None if m is None else sorted({t for t in m if isinstance(t, str)}) for m in made],
-            }
-        )
+def _compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        queries = batch.column("query")
+        made = [compile_query(q) for q in queries.to_pylist()]
+        programs = pa.array([None if m is None else json.dumps(m) for m in made], pa.string())
+        yield pa.RecordBatch.from_arrays([queries, programs], ["query", "program"])
 
 
 def needed_terms(program: list[str | int]) -> list[str]:
@@ -114,14 +109,15 @@ def _answer(shared, bits: int):
     return run
 
 
-def _of_vocabulary(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """The postings of some terms; ``terms`` is a written table of distinct terms."""
+def _of_vocabulary(postings: DataFrame, terms: list[str]) -> DataFrame:
+    """The postings of some terms."""
     rows = postings.select("term", "doc_id").where("doc_id >= 0")
-    if terms.count() <= BROADCAST_TERMS:
-        return rows.join(F.broadcast(terms), "term", "left_semi")
+    wanted = postings.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    if len(terms) <= BROADCAST_TERMS:
+        return rows.join(F.broadcast(wanted), "term", "left_semi")
     # A term in every document is dealt over as many tasks as any other.
     dealt = rows.withColumn("_salt", F.pmod("doc_id", F.lit(SALTS)))
-    salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return dealt.join(salted, ["term", "_salt"], "left_semi").drop("_salt")
 
 
@@ -137,17 +133,17 @@ def count_queries(queries: DataFrame, postings: DataFrame, bits: int = BUCKET_BI
     asked = queries.select("query_id", F.col("query").cast("string").alias("query"))
     different = asked.where("query IS NOT NULL").select("query").distinct()
     plans = materialise(
-        different.mapInPandas(_compiled, "query string, program string, terms array<string>").withColumn("q", F.monotonically_increasing_id()),
-        "plans",
+        different.mapInArrow(_compiled, "query string, program string").withColumn("q", F.monotonically_increasing_id()), "plans"
     )
     readable = plans.where("program IS NOT NULL")
-    lots = -(-(readable.agg(F.sum(F.length("program"))).first()[0] or 0) // LOT_SIZE)
+    size = readable.agg(F.sum(F.length("program")), F.sum(F.octet_length("query") + 16)).first()
+    lots = -(-(size[0] or 0) // LOT_SIZE)
     answers = []
     for lot in range(lots):
         mine = readable.where(F.pmod(F.xxhash64("query"), F.lit(lots)) == lot) if lots > 1 else readable
-        terms = materialise(mine.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
-        # Bounded by LOT_SIZE.
+        # Bounded by LOT_SIZE, and so are the terms.
         rows = mine.select("q", "program").collect()
+        terms = sorted({t for r in rows for t in json.loads(r["program"]) if isinstance(t, str)})
         shared = spark.sparkContext.broadcast(([r["q"] for r in rows], [r["program"] for r in rows]))
         placed = _of_vocabulary(postings, terms).select(
             F.shiftright("doc_id", bits).alias("bucket"), "term", F.pmod("doc_id", F.lit(1 << bits)).cast("int").alias("offset")
@@ -156,5 +152,5 @@ def count_queries(queries: DataFrame, postings: DataFrame, bits: int = BUCKET_BI
         answers.append(arranged.mapInArrow(_answer(shared, bits), "q bigint, n bigint"))
     none = spark.createDataFrame([], "q bigint, n bigint")
     counts = reduce(DataFrame.unionByName, answers, none).groupBy("q").agg(F.sum("n").alias("n"))
-    answered = materialise(readable.select("q", "query").join(counts, "q", "left").select("query", F.coalesce("n", F.lit(0)).alias("n")), "answers")
-    return join_unique(asked, answered, "query").select("query_id", "n")
+    answered = readable.select("q", "query").join(counts, "q", "left").select("query", F.coalesce("n", F.lit(0)).alias("n"))
+    return join_unique(asked, answered, "query", size=size[1] or 0).select("query_id", "n")

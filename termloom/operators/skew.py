@@ -29,17 +29,19 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32_000_000
 
 
-def join_unique(rows: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
+def join_unique(rows: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_BYTES, size: int | None = None) -> DataFrame:
     """``rows`` joined with the row of ``table`` that has their key; null keys are equal to each other.
 
-    ``table`` has at most one row per key and is read to measure it. One of up to
-    ``limit`` bytes is broadcast. Else both are shuffled, and the rows of keys with
+    ``table`` has at most one row per key. Its ``size`` in bytes is measured, which
+    reads it, unless it is given. A table of up to ``limit`` bytes is broadcast. Else both are shuffled, and the rows of keys with
     a large share of ``rows`` are dealt over many tasks, their row of the table to
     each of these. ``how`` is ``left`` or ``inner``.
     """
     other = table.withColumnRenamed(key, "_k")
     match = F.col(key).eqNullSafe(F.col("_k"))
-    if (table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= limit:
+    if size is None:
+        size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if size <= limit:
         return rows.join(F.broadcast(other), match, how).drop("_k")
     spread = max(8, rows.sparkSession.sparkContext.defaultParallelism)
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
