@@ -23,15 +23,14 @@ def items(wiki_item: DataFrame) -> DataFrame:
     return latest.select("seq", F.col("_row.id").alias("id"), F.col("_row.text").alias("text"))
 
 
-def metas(term_meta_temp: DataFrame) -> DataFrame:
-    """``meta_id, term, nums_total, docs, blocks``, one row per meta.
+def meta_rows(term_meta_temp: DataFrame) -> DataFrame:
+    """``meta_id, built_at, term, nums_total, docs, blocks`` of every row that belongs to a meta.
 
     ``term`` is in compared form. ``nums_total`` is the sum of ``nums`` (null if
     the list is), ``blocks`` the set bits of ``distribution`` and ``docs`` the
     number of documents: ``nums_total``, or where that is null the rounded
     ``selectivity * 512 * blocks`` (null if ``selectivity`` is null, negative or
-    not finite). Of rows with one ``meta_id`` the latest ``built_at`` stays; rows
-    without ``meta_id`` belong to no meta and are left out.
+    not finite). Rows without ``meta_id`` are left out.
     """
     blocks, total = set_bits("distribution"), list_total("nums")
     # NaN is greater than any number here, infinity included.
@@ -39,18 +38,13 @@ def metas(term_meta_temp: DataFrame) -> DataFrame:
     rows = term_meta_temp.where("meta_id IS NOT NULL").select(
         "meta_id", "built_at", compared_form("term").alias("term"), "selectivity", total.alias("nums_total"), blocks.alias("blocks")
     )
-    small = rows.select(
-        "meta_id",
-        F.struct(
-            "built_at",
-            "term",
-            "nums_total",
-            F.coalesce(
-                "nums_total", F.when(sound, F.round(F.col("selectivity") * 512 * F.col("blocks")).cast("bigint"))
-            ).alias("docs"),
-            "blocks",
-        ).alias("_row"),
-    )
+    estimated = F.when(sound, F.round(F.col("selectivity") * 512 * F.col("blocks")).cast("bigint"))
+    return rows.select("meta_id", "built_at", "term", "nums_total", F.coalesce("nums_total", estimated).alias("docs"), "blocks")
+
+
+def metas(term_meta_temp: DataFrame) -> DataFrame:
+    """``meta_id, term, nums_total, docs, blocks``, one row per meta: that of the latest ``built_at``; see ``meta_rows``."""
+    small = meta_rows(term_meta_temp).select("meta_id", F.struct("built_at", "term", "nums_total", "docs", "blocks").alias("_row"))
     return small.repartition("meta_id").groupBy("meta_id").agg(F.max("_row").alias("_row")).select(
         "meta_id", "_row.term", "_row.nums_total", "_row.docs", "_row.blocks"
     )
