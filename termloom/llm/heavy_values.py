@@ -4,7 +4,7 @@ Pass 1 hashes every value to a 64-bit fingerprint, sends the fingerprint to one
 of ``groups`` groups (several times, with independent hashes), and writes it as
 a Reed-Solomon codeword of ``LENGTH`` symbols over GF(256). All that is kept is
 one counter per (hash, group, position, symbol): a fixed number, whatever the
-number of values. Counters only ever grow by true occurrences, so at each
+number of values; a task sends a group's counters as one compressed row. Counters only ever grow by true occurrences, so at each
 position the symbol of a value with at least ``share`` of all rows counts at
 least that much, and at most ``1 / share`` symbols of a position do.
 
@@ -20,6 +20,7 @@ exactly.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations, product
@@ -114,11 +115,23 @@ def group_of(fingerprints: np.ndarray, hashes: int, groups: int, seed: int) -> n
     return np.stack(rows)
 
 
-def _sketch(hashes: int, groups: int, seed: int):
-    shape = (hashes, groups, LENGTH, 256)
+#: Counters of a group: one per position and symbol.
+GROUP_CELLS = LENGTH * 256
+
+
+def _packed(counters: np.ndarray) -> bytes:
+    """Counters of a group in the narrowest type, compressed."""
+    kind = np.min_scalar_type(int(counters.max())).newbyteorder("<")
+    return kind.str.encode() + zlib.compress(counters.astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[3:]), np.dtype(data[:3].decode())).astype(np.int64)
 
+
+def _sketch(hashes: int, groups: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, held, size = np.zeros(int(np.prod(shape)), np.int64), [], 0
+        counters, held, size = np.zeros((hashes * groups, GROUP_CELLS), np.int64), [], 0
 
         def flush() -> None:
             if not held:
@@ -126,9 +139,10 @@ def _sketch(hashes: int, groups: int, seed: int):
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             words, group = encode(values).astype(np.int64), group_of(values, hashes, groups, seed)
+            flat = counters.reshape(-1)
             for r in range(hashes):
                 at = ((r * groups + group[r])[:, None] * LENGTH + np.arange(LENGTH)[None, :]) * 256 + words
-                np.add.at(counters, at.ravel(), np.repeat(counts, LENGTH))
+                np.add.at(flat, at.ravel(), np.repeat(counts, LENGTH))
 
         for batch in batches:
             held.append(batch.column(0).to_numpy(zero_copy_only=False))
@@ -137,9 +151,40 @@ def _sketch(hashes: int, groups: int, seed: int):
                 flush()
                 size = 0
         flush()
-        used = np.flatnonzero(counters)
-        for part in np.array_split(used, len(used) // 100_000 + 1):
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counters[part])], ["cell", "n"])
+        used = np.flatnonzero(counters.any(axis=1))
+        for part in np.array_split(used, len(used) // 1000 + 1):
+            data = [_packed(counters[i]) for i in part]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(data, pa.binary())], ["block", "counters"])
+
+    return run
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per group, from the rows of all tasks, which come sorted by group."""
+    names, current, total = ["block", "n", "counters"], None, None
+
+    def whole() -> pa.RecordBatch:
+        n = int(total[:256].sum())  # every value has one symbol at the first position
+        return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([n]), pa.array([_packed(total)], pa.binary())], names)
+
+    for batch in batches:
+        for block, data in zip(batch.column("block").to_pylist(), batch.column("counters").to_pylist()):
+            if block != current:
+                if current is not None:
+                    yield whole()
+                current, total = block, np.zeros(GROUP_CELLS, np.int64)
+            total += _unpacked(data)
+    if current is not None:
+        yield whole()
+
+
+def _heavy(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("counters").to_pylist()):
+                counters = _unpacked(data)
+                at = np.flatnonzero(counters >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(block * GROUP_CELLS + at), pa.array(counters[at])], ["cell", "n"])
 
     return run
 
@@ -198,15 +243,15 @@ def heavy_values(df: DataFrame, value: str, share: float = 1 / 140, hashes: int
     groups = 1 << max(4, int(np.ceil(np.log2(0.5 / share))))
     for seed in range(ROUNDS):
         groups <<= 2 * bool(seed)
-        cells = rows.select(print_of.alias("f")).mapInArrow(_sketch(hashes, groups, seed), "cell bigint, n bigint")
-        counters = materialise(cells.groupBy("cell").agg(F.sum("n").alias("n")), "symbols")
-        first = F.floor(F.col("cell") / 256) % LENGTH == 0
-        total = (counters.where(first & (F.col("cell") < groups * LENGTH * 256)).agg(F.sum("n")).first()[0]) or 0
+        parts = rows.select(print_of.alias("f")).mapInArrow(_sketch(hashes, groups, seed), "block bigint, counters binary")
+        arranged = parts.repartition("block").sortWithinPartitions("block")
+        counters = materialise(arranged.mapInArrow(_add_up, "block bigint, n bigint, counters binary"), "symbols")
+        total = counters.where(F.col("block") < groups).agg(F.sum("n")).first()[0] or 0
         if not total:
             return spark.createDataFrame([], schema)
         least = share * total
         # Bounded: at most 1 / share symbols of each position of each hash are this heavy.
-        heavy = counters.where(F.col("n") >= F.lit(least)).collect()
+        heavy = counters.select("block", "counters").mapInArrow(_heavy(least), "cell bigint, n bigint").collect()
         columns: dict[tuple[int, int], list[dict[int, int]]] = defaultdict(lambda: [{} for _ in range(LENGTH)])
         for cell, n in heavy:
             place, symbol = divmod(cell, 256)
