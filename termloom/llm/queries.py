@@ -52,10 +52,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scores(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     counted = items(table(spark, folder, "wiki_item")).select("seq", tokens("text").alias("terms"))
-    long = counted.where(F.size("terms") > 0).select("seq", F.size("terms").cast("bigint").alias("length"), F.explode("terms").alias("term"))
-    postings = materialise(long.groupBy("seq", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    records = postings.agg(F.count_distinct("seq")).first()[0]
-    return score_postings(postings, records), records
+    long = counted.where(F.size("terms") > 0).select(
+        "seq", F.size("terms").cast("bigint").alias("length"), F.posexplode("terms").alias("place", "term")
+    )
+    postings = long.groupBy("seq", "length", "term").agg(F.count(F.lit(1)).alias("tf"), (F.min("place") == 0).alias("first"))
+    return score_postings(materialise(postings, "postings"))
 
 
 def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,8 +66,19 @@ def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("seq", "term", "tf", "df", weight.alias("tfidf"), "elite")
 
 
+#: Terms an item is more likely about than not.
+ELITE = 0.5
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p4_scores(spark, folder).where("tf >= 3 AND tfidf >= 0.0377").select("seq", "term")
+    """The posterior picks the candidates; counts and weights are then checked exactly."""
+    return p4_scores(spark, folder).where(F.col("elite") >= ELITE).where("tf >= 3 AND tfidf >= 0.0377").select("seq", "term")
+
+
+def p4_elite(spark: SparkSession, folder: str) -> DataFrame:
+    """seq, term, tf, df, tfidf, elite, rounded, so that another fit in floating point gives the same."""
+    rounded = [F.round(c, 6).alias(c) for c in ("tfidf", "elite")]
+    return p4_scores(spark, folder).select("seq", "term", "tf", "df", *rounded)
 
 
 #: Sets whose sizes are joined to the pairs by broadcast (about 100 bytes each); more are joined by shuffle.
