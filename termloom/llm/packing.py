@@ -70,22 +70,26 @@ def _intervals(patterns) -> dict[str, np.ndarray]:
         start = 0
         for length, times in items:
             first = taken.get(length, 0)
-            rows.append((length, first, container, times, start))
+            rows.append((length, first, container, times, start, count * times))
             taken[length] = first + count * times
             start += length * times
         container += count
     rows.sort()
-    return {name: np.array([r[i] for r in rows], np.int64) for i, name in enumerate(("length", "first", "container", "times", "start"))}
+    return {name: np.array([r[i] for r in rows], np.int64) for i, name in enumerate(("length", "first", "container", "times", "start", "items"))}
 
 
 def _assign(plan: dict[str, np.ndarray]):
-    shift = 1 << 44
-    keys = plan["length"] * shift + plan["first"]
+    """Places of items by length and rank. Items of all lengths are numbered on, so that no length or rank is too large to find."""
+    lengths, begins = np.unique(plan["length"], return_index=True)
+    ends = np.append(begins[1:], len(plan["length"])) - 1
+    filled = plan["first"][ends] + plan["items"][ends] if len(lengths) else begins
+    before = np.cumsum(filled) - filled
+    keys = before[np.searchsorted(lengths, plan["length"])] + plan["first"] if len(lengths) else begins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            at = np.searchsorted(keys, length * shift + rank, side="right") - 1
+            at = np.searchsorted(keys, before[np.searchsorted(lengths, length)] + rank, side="right") - 1
             within = rank - plan["first"][at]
             times = plan["times"][at]
             container = plan["container"][at] + within // times
@@ -106,8 +110,8 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048) -> DataFra
     place in its container; pieces of a container neither overlap nor exceed
     ``capacity``. Items of size zero or null have one piece of length zero and a
     null container. Every row of ``sizes`` is an item, repeated rows too; null
-    keys are items as well. ``sizes`` must be a written table (it is read twice),
-    whose other columns are ignored; an empty one gives no rows.
+    keys are items as well. Other columns are ignored; an empty table gives no
+    rows. ``sizes`` is evaluated once, and its items are written to the shared folder.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -115,22 +119,23 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048) -> DataFra
     pieces = F.greatest(F.ceil(F.col("size") / capacity), F.lit(1)).cast("bigint")
     cut = whole.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
     length = F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)).cast("bigint")
-    items = cut.withColumn("length", length).select("key", "piece", "pieces", "length")
+    numbered = cut.withColumn("length", length).select("key", "piece", "pieces", "length", F.monotonically_increasing_id().alias("number"))
+    items = materialise(numbered, "items")
     filled = items.where("length > 0")
     # Bounded: at most ``capacity`` different lengths.
     histogram = {r["length"]: r["n"] for r in filled.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = _intervals(shortest_pack_first(histogram, capacity))
     kind = sizes.schema[key].dataType.simpleString()
     schema = f"key {kind}, piece bigint, pieces bigint, length bigint, container bigint, start bigint"
-    empty = items.where("length = 0").select("*", F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("bigint").alias("start"))
+    empty = items.where("length = 0").drop("number").select("*", F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("bigint").alias("start"))
     lots = max(1, -(-max(histogram.values(), default=0) // LOT_ITEMS))
-    lot = F.pmod(F.xxhash64("key", "piece"), F.lit(lots)).cast("int")
+    lot = F.pmod(F.xxhash64("number"), F.lit(lots)).cast("int")  # by number, as any number of items may have one key
     dealt = filled.withColumn("lot", lot)
     lot_sizes = dealt.groupBy("length", "lot").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("lot")) - F.col("n")
     # As many rows as lengths and lots, not items.
     offsets = materialise(lot_sizes.select("length", "lot", before.alias("before")), "lots")
-    within = F.row_number().over(Window.partitionBy("length", "lot").orderBy("key", "piece"))
+    within = F.row_number().over(Window.partitionBy("length", "lot").orderBy("number"))
     ranked = dealt.withColumn("within", within).join(offsets, ["length", "lot"])
     ranked = ranked.select("key", "piece", "pieces", "length", (F.col("before") + F.col("within") - 1).alias("rank"))
     packed = ranked.mapInArrow(_assign(plan), schema).unionByName(empty)

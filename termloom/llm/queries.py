@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from termloom.functions.analysis import compared_form, tokens
 from termloom.llm.distinctive import score_postings
 from termloom.llm.encode import token_counts, token_ids
-from termloom.llm.frequency import term_frequencies
+from termloom.llm.frequency import record_totals, term_frequencies
 from termloom.llm.heavy_values import heavy_values
-from termloom.llm.lookalike import canonical_text, same_looking_pairs
-from termloom.llm.overlap import bitmap_words, overlap_sizes
+from termloom.llm.lookalike import compared_text, printed_text, same_looking_classes, same_looking_pairs
+from termloom.llm.overlap import overlap_sizes
 from termloom.llm.packing import pack
 from termloom.llm.truncation import truncated_texts, truncation_rates
 from termloom.session import materialise
-from termloom.sources.tables import items, metas, table
+from termloom.sources.tables import items, meta_rows, table
 
 CAPACITY = 2048
 
@@ -42,8 +42,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_canonical(spark: SparkSession, folder: str) -> DataFrame:
-    """id, canonical: the consistent form of every item's text."""
-    return items(table(spark, folder, "wiki_item")).select("id", canonical_text("text").alias("canonical"))
+    """id, canonical, compared: the consistent forms of every item's text, for reading and for comparing."""
+    return items(table(spark, folder, "wiki_item")).select("id", printed_text("text").alias("canonical"), compared_text("text").alias("compared"))
+
+
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """id, look, spelling, spellings, links of every item with other spellings."""
+    return same_looking_classes(table(spark, folder, "wiki_item"), "id", "text")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,45 +86,28 @@ def p4_elite(spark: SparkSession, folder: str) -> DataFrame:
     return p4_scores(spark, folder).select("seq", "term", "tf", "df", *rounded)
 
 
-#: Sets whose sizes are joined to the pairs by broadcast (about 100 bytes each); more are joined by shuffle.
-BROADCAST_SETS = 10_000
-
-
-def _overlaps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int]:
-    """Intersection sizes of the watched terms' sets in both origins, the numbered terms, and how many numbers they have."""
-    watched = table(spark, folder, "watch_term").where("term_no IS NOT NULL AND term IS NOT NULL").select(
-        F.col("term_no").cast("bigint").alias("no"), "term"
-    )
+def _members(spark: SparkSession, folder: str) -> DataFrame:
+    """space, set, member, word of the watched terms in both origins: single members, or 64 of them in a word."""
+    watched = table(spark, folder, "watch_term").where("term IS NOT NULL").select("term").distinct()
     listed = table(spark, folder, "posting_batch").select("term", "postings").join(watched, "term")
-    members = listed.select(F.lit("posting_batch").alias("space"), "no", F.explode("postings").alias("member"))
+    items_of = listed.select(F.lit("posting_batch").alias("space"), F.col("term").alias("set"), F.explode("postings").alias("member"))
     marked = table(spark, folder, "term_meta_temp").select(compared_form("term").alias("term"), "distribution").join(watched, "term")
-    outer = marked.select("no", F.posexplode("distribution").alias("part", "inner"))
-    inner = outer.select("no", "part", F.posexplode("inner").alias("at", "word")).where("word <> 0")
+    outer = marked.select("term", F.posexplode("distribution").alias("part", "inner"))
+    inner = outer.select("term", "part", F.posexplode("inner").alias("at", "word")).where("word <> 0")
     # A block's number: partition in the high bits, then the word; the word holds 64 blocks already.
-    blocks = inner.groupBy("no", (F.col("part").cast("bigint") * (1 << 32) + F.col("at")).alias("word_no")).agg(F.bit_or("word").alias("word"))
-    words = bitmap_words(members).unionByName(blocks.select(F.lit("term_meta_temp").alias("space"), "no", "word_no", "word"))
-    sets = (watched.agg(F.max("no")).first()[0] or 0) + 1
-    return overlap_sizes(words, sets), watched, sets
+    place = (F.col("part").cast("bigint") * (1 << 32) + F.col("at")) * 64
+    blocks = inner.groupBy("term", place.alias("member")).agg(F.bit_or("word").alias("word"))
+    both = blocks.select(F.lit("term_meta_temp").alias("space"), F.col("term").alias("set"), "member", "word")
+    return items_of.withColumn("word", F.lit(None).cast("bigint")).unionByName(both)
 
 
 def p5_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     """origin, term_a, term_b, n_a, n_b, shared of every two watched terms that share a member."""
-    sizes, watched, sets = _overlaps(spark, folder)
-    sizes = materialise(sizes, "overlaps")
-    own = sizes.where("no_a = no_b").select("space", F.col("no_a").alias("no"), F.col("shared").alias("n")).join(watched, "no")
-    if sets <= BROADCAST_SETS:
-        own = F.broadcast(own)
-    side = lambda s: own.select("space", *[F.col(c).alias(f"{c}_{s}") for c in ("no", "n", "term")])
-    pairs = sizes.where("no_a < no_b").join(side("a"), ["space", "no_a"]).join(side("b"), ["space", "no_b"])
-    first = F.col("term_a") < F.col("term_b")
-    swap = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return pairs.select(
-        F.col("space").alias("origin"),
-        swap("term_a", "term_b").alias("term_a"),
-        swap("term_b", "term_a").alias("term_b"),
-        swap("n_a", "n_b").alias("n_a"),
-        swap("n_b", "n_a").alias("n_b"),
-        "shared",
+    origins = F.explode(F.array(F.lit("posting_batch"), F.lit("term_meta_temp"))).alias("space")
+    sets = table(spark, folder, "watch_term").where("term IS NOT NULL").select(origins, F.col("term").alias("set"))
+    sizes = overlap_sizes(_members(spark, folder), sets)
+    return sizes.select(
+        F.col("space").alias("origin"), F.col("set_a").alias("term_a"), F.col("set_b").alias("term_b"), "n_a", "n_b", "shared"
     )
 
 
@@ -138,11 +126,10 @@ def p6_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     counted = term_frequencies(items(wiki).select("seq", tokens("text").alias("terms")), "seq", "terms", arranged=True)
     mark = F.when(F.col("records") <= 2, "rare").when(F.col("records") * 5 >= 2 * texts, "common")
     ours = counted.select(F.lit("wiki_item").alias("origin"), "term", "occurrences", "records", mark.alias("mark"))
-    spills = metas(table(spark, folder, "term_meta_temp")).where("term IS NOT NULL").groupBy("term").agg(
-        F.coalesce(F.sum("docs"), F.lit(0)).alias("occurrences"), F.count(F.lit(1)).alias("records"), F.sum("blocks").alias("blocks")
-    )
-    mark = F.when(F.col("occurrences") <= 2, "rare").when(F.col("occurrences") * 2 >= 512 * F.col("blocks"), "common")
-    theirs = spills.select(F.lit("term_meta_temp").alias("origin"), "term", "occurrences", "records", mark.alias("mark"))
+    spills = meta_rows(table(spark, folder, "term_meta_temp"))
+    summed = record_totals(spills, "meta_id", "term", ["docs", "blocks"], latest="built_at").where("term IS NOT NULL")
+    mark = F.when(F.col("docs") <= 2, "rare").when(F.col("docs") * 2 >= 512 * F.col("blocks"), "common")
+    theirs = summed.select(F.lit("term_meta_temp").alias("origin"), "term", F.col("docs").alias("occurrences"), "records", mark.alias("mark"))
     return ours.unionByName(theirs)
 
 
@@ -156,8 +143,42 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, piece, pieces, length, container, start: where every document goes."""
+    return pack(token_counts(table(spark, folder, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """container, pieces, used: how full every container is."""
+    placed = p8_packing(spark, folder).where("container IS NOT NULL")
+    return placed.groupBy("container").agg(F.count(F.lit(1)).alias("pieces"), F.sum("length").alias("used"))
+
+
+def p8_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """documents, and how much of the packing breaks a rule: all but the first must be 0.
+
+    ``without_place``: tokens that are in no container; ``over_capacity`` and
+    ``overlaps``: containers with more than they hold, or whose pieces do not follow
+    each other without a gap; ``needless_cuts``: documents in pieces though they fit.
+    """
     sizes = materialise(token_counts(table(spark, folder, "documents"), "doc_id", "text"), "sizes")
-    return pack(sizes, "doc_id", "n_tokens", CAPACITY)
+    placed = materialise(pack(sizes, "doc_id", "n_tokens", CAPACITY), "placed")
+    # At most ``CAPACITY`` pieces to a container; pieces from 0 on fill it without overlap if each but the first begins at another's end.
+    ends = F.array_sort(F.collect_list(F.col("start") + F.col("length")))
+    boxes = placed.where("container IS NOT NULL").groupBy("container").agg(
+        F.sum("length").alias("used"), ends.alias("ends"), F.array_sort(F.collect_list("start")).alias("starts")
+    )
+    tiled = (F.get("starts", F.lit(0)) == 0) & (F.slice("starts", 2, F.size("starts")) == F.slice("ends", 1, F.size("ends") - 1))
+    none = F.lit(0).cast("bigint")
+    rules = ("documents", "without_place", "over_capacity", "overlaps", "needless_cuts")
+    row = lambda **found: [found.get(r, none).alias(r) for r in rules]
+    parts = [
+        boxes.agg(*row(over_capacity=F.count_if(F.col("used") > CAPACITY), overlaps=F.count_if(~tiled), without_place=-F.sum("used"))),
+        sizes.agg(*row(documents=F.count(F.lit(1)), without_place=F.sum("n_tokens"))),
+        placed.groupBy("doc_id").agg(F.max("pieces").alias("pieces"), F.sum("length").alias("n")).agg(
+            *row(needless_cuts=F.count_if((F.col("pieces") > 1) & (F.col("n") <= CAPACITY)))
+        ),
+    ]
+    together = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return together.agg(*[F.coalesce(F.sum(r), none).alias(r) for r in rules])
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,7 +198,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_top_terms, p3_found, p3_canonical, p4_found, p4_scores, p5_found, p5_overlaps,
-            p6_found, p6_frequencies, p7_ids, p8_found, p8_packing, p9_found, p9_sources,
+            p1_found, p1_top_terms, p1_sketch, p3_found, p3_classes, p3_canonical, p4_found, p4_scores, p4_elite, p5_found, p5_overlaps,
+            p6_found, p6_frequencies, p7_ids, p8_found, p8_packing, p8_containers, p8_violations, p9_found, p9_sources,
         )
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from termloom.llm.distinctive import STEPS, TOLERANCE
+
 _ITEMS = "item AS (SELECT seq, min(text) AS text FROM wiki_item WHERE seq IS NOT NULL GROUP BY seq)"
 _TOKENS = r"""raw AS (SELECT seq, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS token FROM item),
 tok AS (SELECT seq, lower(token) AS term FROM raw WHERE octet_length(encode(token)) < 40)"""
@@ -59,8 +61,39 @@ frequency AS (
     FROM theirs)"""
 
 
+#: The mixture of every term, one step of the fit per level of recursion, on lists of counts ``k`` and records ``n``.
+_FIT = f"""{_ITEMS}, {_TOKENS}, {_POSTING},
+    len AS (SELECT seq, CAST(sum(tf) AS BIGINT) AS l FROM posting GROUP BY seq),
+    df AS (SELECT term, count(*) AS df FROM posting GROUP BY term),
+    total AS (SELECT count(*) AS records FROM len),
+    bar AS (SELECT term, tf AS k, count(*) AS n FROM posting GROUP BY term, tf
+        UNION ALL SELECT term, 0, records - df FROM df, total),
+    hist AS (SELECT term, list({{'k': CAST(k AS DOUBLE), 'n': CAST(n AS DOUBLE)}} ORDER BY k) AS h,
+        CAST(sum(n) AS DOUBLE) AS whole, CAST(max(k) AS DOUBLE) AS top, CAST(sum(n * k) AS DOUBLE) / sum(n) AS mean FROM bar GROUP BY term),
+    fit AS (
+        SELECT term, h, whole, 0 AS i, CAST(0.1 AS DOUBLE) AS share, greatest(top, mean * 1.5) AS high, mean * 0.5 AS low,
+            CAST(NULL AS DOUBLE[]) AS post, CAST('inf' AS DOUBLE) AS step FROM hist
+        UNION ALL
+        SELECT term, h, whole, i, w / whole, greatest(list_sum(list_transform(h, lambda x, j: x.n * now[j] * x.k)) / w, 1e-9),
+            greatest(list_sum(list_transform(h, lambda x, j: (x.n - x.n * now[j]) * x.k)) / (whole - w), 1e-9), now,
+            CASE WHEN post IS NULL THEN CAST('inf' AS DOUBLE) ELSE list_max(list_transform(now, lambda y, j: abs(y - post[j]))) END
+        FROM (SELECT *, least(greatest(list_sum(list_transform(h, lambda x, j: x.n * now[j])), 1e-9), whole - 1e-9) AS w
+            FROM (SELECT term, h, whole, i + 1 AS i, post, list_transform(h, lambda x: 1 / (1 + exp(-least(greatest(
+                    ln(share) - ln(1 - share) + x.k * (ln(high) - ln(low)) - high + low, -700), 700)))) AS now
+                FROM fit WHERE step > {TOLERANCE} AND i < {STEPS}))),
+    last AS (SELECT term, share, high, low, step FROM fit QUALIFY row_number() OVER (PARTITION BY term ORDER BY i DESC) = 1),
+    mixed AS (SELECT term, step, CASE WHEN low > high THEN 1 - share ELSE share END AS share, greatest(high, low) AS high, least(high, low) AS low FROM last)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_top_terms": f"""WITH {_ITEMS}, {_TOKENS}
+            SELECT term, count(*) AS n FROM tok GROUP BY term HAVING count(*) * 140 >= (SELECT count(*) FROM tok)""",
+        "p4_elite": f"""WITH RECURSIVE {_FIT}
+            SELECT seq, term, tf, df, round((tf / l) * ln(records / df) / ln(greatest(records, 2)), 6) AS tfidf,
+                round(1 / (1 + exp(-least(greatest(ln(share) - ln(1 - share) + tf * (ln(high) - ln(low)) - high + low, -700), 700))), 6) AS elite
+            FROM posting JOIN len USING (seq) JOIN df USING (term) JOIN mixed USING (term), total""",
+        "p8_violations": """SELECT count(*) AS documents, 0 AS without_place, 0 AS over_capacity, 0 AS overlaps, 0 AS needless_cuts FROM documents""",
         "p1_found": f"""WITH {_ITEMS}, {_TOKENS}
             SELECT term FROM tok GROUP BY term HAVING count(*) * 140 >= (SELECT count(*) FROM tok)""",
         "p4_found": f"""WITH {_ITEMS}, {_TOKENS}, {_POSTING},

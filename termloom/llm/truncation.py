@@ -1,16 +1,18 @@
 """Texts that lost their end, and the storage limits that cut them.
 
 Two kinds of evidence are brought together. A limit shows in lengths: many texts
-of one source have exactly the same length, but only if lengths are taken as the
-store took them, so every text's length is recomputed in characters, UTF-8 bytes
-and UTF-16 units, with HTML entities, JSON escapes or CR LF line ends, and the
-sharpest spike of each source names its limit and its unit. A cut shows in the
-ending: a last line that is neither a finished sentence nor any of the things
-that end without one (a signature, a link, a title, a list entry, a log line).
-Texts made of records are held against the shapes that finished record lines of
-the whole collection have. The two meet where an ending alone proves nothing: a
-last line that may go on (it ends in a name or a number) counts as cut at its
-source's limit and as whole elsewhere.
+of one source have exactly the same length, or lengths just below one where a store
+goes back to the end of a word, but only if lengths are taken as the store took
+them. So every text's length is recomputed in characters, UTF-8 bytes and UTF-16
+units, with HTML entities, JSON escapes or CR LF line ends, and lengths that more
+texts have than those around them name the limits of a source and their units. A
+cut shows in the ending: a last line that is neither a finished sentence nor any of
+the things that end without one. What these are is learnt from the collection: the
+shapes of record lines that another line follows, and the outlines that many texts
+end with, such as those of signatures, links, list and table rows, unless they are
+the beginning of one that more texts end with. The two kinds meet where an ending alone
+proves nothing: a last line that may go on (it ends in a name or a number) counts
+as cut at a limit of its source and as whole elsewhere.
 """
 
 from __future__ import annotations
@@ -18,28 +20,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.operators.skew import join_unique
 from termloom.session import materialise, spread
 
-#: A spike holds at least so many texts of its source, and so many times what the lengths around it hold on average.
-SPIKE_TEXTS, SPIKE_RATIO, SPIKE_AROUND = 4, 8, 32
-#: Shapes of record lines that make up less than this share of all are not learnt; at most its inverse are.
-SHAPE_SHARE, SHAPE_LINES = 1 / 2000, 3
-#: Characters of a line that its ending is judged by.
-TAIL = 300
+#: A limit stands out by so many texts and so many standard deviations from what the lengths near and around it hold.
+SPIKE_TEXTS, SPIKE_SIGMAS, NEAR, AROUND = 4, 6, 3, 32
+#: Lengths a store that goes back to the end of a word leaves below its limit.
+BAND = 16
+#: Shapes of record lines, and outlines of last lines, that make up less than such a share of all are not learnt; at most its inverse are.
+SHAPE_SHARE, OUTLINE_SHARE, SHAPE_LINES = 1 / 2000, 1 / 200, 3
+#: Outlines that texts end with this many times less often than with one they begin are cuts of it.
+CUT_RATIO = 3
+#: Characters of the longest line whose whole shape is looked at.
+SHAPE_LENGTH = 120
 
-_BLANKS = " \t\n\r\x0b\x0c     　﻿​"
+_BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff\u200b"
 _CLOSERS = r"[\"'»”’)\]]*"
 _AFTER = r"(\s*(\[\d+\]|\(edited\)|[:;]-?\)|[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]\x{FE0F}?|~{3,5}))*"
 FINISHED = rf"[.!?。！？]{_CLOSERS}{_AFTER}$"
 SENTENCE_END = rf"[.!?。！？]{_CLOSERS}(\s|$)"
+#: What follows the last finished sentence of a line.
+UNFINISHED = rf"^(?:.*[.!?。！？]{_CLOSERS}\s+)?(.*)$"
 MARKER = r"(\.\.\.|…|\[(more|\.\.\.|…|truncated|continued)\]|\((more|truncated|continued)\))$"
-#: Lines that end a text without being a sentence: list entry, signature, category, reference, template, table row, rule, link.
-CLOSING_LINE = (
-    r"^[*\-] \p{Lu}[\p{L}\-]+( \d+)?$|(^| )-- ?\p{Lu}[\p{L}\-]+$|^\p{Lu}\p{L}+: \p{Lu}\S+$|^\[\d+\] [^,]+, \d{4}$"
-    r"|^\{\{[^{}]+\}\}$|^\|.*\|$|^~{3,5}$|(^|\s)https?://[\w.\-]+\.\w+/\S*\w$"
-)
 TITLE = r"^\p{Lu}\S*( \d+)?( \([^()]+\))?(, \d+| – \S+)?$"
+#: Lines of lists and logs: they begin with a bullet and a word, or with a time.
 RECORD = r"^([*\-] \p{Lu}[\p{L}:]+ |\d{4}-\d\d-\d\dT)"
+#: Lines of two fields; whole ones end in a word that is no operator, or in a bracket.
 QUERY_LINE = r"^\p{Lu}+\t"
 WHOLE_QUERY_LINE = r"^\p{Lu}+\t(.* )?(?!(AND|OR)$)\S*[\p{L}\p{N})]$"
 
@@ -48,8 +54,11 @@ def _occurrences(text: Column, what: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
 
 
-#: Ways a store may take a text's length, the plainest first.
-UNITS = ("chars", "utf8", "utf16", "html", "html_quotes", "json", "json_utf8", "json_ascii", "crlf", "crlf_utf8")
+#: Ways a store may take a text's length, the plainest first, and by how much a limit is missed so as not to split a character.
+SLACK = {
+    "chars": 0, "utf8": 3, "utf16": 1, "html": 5, "html_quotes": 5, "json": 1, "json_utf8": 3, "json_ascii": 11, "crlf": 1, "crlf_utf8": 3,
+}
+UNITS = tuple(SLACK)
 
 
 def stored_lengths(text: Column) -> Column:
@@ -76,24 +85,80 @@ def stored_lengths(text: Column) -> Column:
     return F.array(*[lengths[unit].cast("bigint") for unit in UNITS])
 
 
+def _standing_out(held: Column, usual: Column) -> Column:
+    return held >= SPIKE_TEXTS + usual + SPIKE_SIGMAS * F.sqrt(usual)
+
+
+def _bars(judged: DataFrame) -> DataFrame:
+    """``source, i, n, texts, cut``: texts of each length in each unit. One row per different length, however many texts have it."""
+    each = judged.select("source", "ending", F.posexplode("lengths").alias("i", "n"))
+    return each.groupBy("source", "i", "n").agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("ending") == "cut").alias("cut"))
+
+
+def _upto(what: str, offset: int) -> Column:
+    """Running total over lengths up to this one plus ``offset``; it grows along a source's lengths, however far the offset."""
+    return F.coalesce(F.sum(what).over(Window.partitionBy("source", "i").orderBy("n").rangeBetween(Window.unboundedPreceding, offset)), F.lit(0))
+
+
+def _spikes(bars: DataFrame) -> DataFrame:
+    """``source, i, lo, hi, texts`` of single lengths that stand out."""
+    gaps = F.array(*[F.lit(max(g, 1)) for g in SLACK.values()])
+    below = {g: {far: _upto("texts", -g - 1) - _upto("texts", -g - 1 - far) for far in (NEAR, AROUND)} for g in sorted({max(g, 1) for g in SLACK.values()})}
+    usual = []
+    for far in (NEAR, AROUND):
+        before = F.coalesce(*[F.when(F.get(gaps, F.col("i")) == g, found[far]) for g, found in below.items()])
+        after = _upto("texts", far) - _upto("texts", 0)
+        # Near by, either side: a band has lengths on one side of each of its own.
+        usual.append(F.greatest(before, after) / far if far == NEAR else (before + after) / (2 * far))
+    # Texts that missed the limit for a character's sake are fewer to a length than those that met it.
+    missed = F.coalesce(*[F.when(F.get(gaps, F.col("i")) == g, (_upto("texts", -1) - _upto("texts", -g - 1)) / g) for g in below])
+    found = bars.withColumns({"usual": F.greatest(*usual), "missed": missed})
+    sharp = _standing_out(F.col("texts"), F.col("usual")) & (F.col("texts") >= 2 * F.col("missed")) & (2 * F.col("cut") >= F.col("texts"))
+    return found.where(sharp).select("source", "i", F.col("n").alias("lo"), F.col("n").alias("hi"), "texts")
+
+
+def _bands(bars: DataFrame) -> DataFrame:
+    """``source, i, lo, hi, texts`` of runs of ``BAND`` lengths that stand out, the fullest of those that overlap."""
+    held = bars.withColumns({"h": _upto("texts", 0) - _upto("texts", -BAND), "c": _upto("cut", 0) - _upto("cut", -BAND)})
+    sides = _upto("texts", -BAND) - _upto("texts", -BAND - 2 * AROUND), _upto("texts", 2 * AROUND) - _upto("texts", 0)
+    held = held.withColumn("usual", F.greatest(*sides) * (BAND / (2 * AROUND)))
+    full = held.where(_standing_out(F.col("h"), F.col("usual")) & (2 * F.col("c") >= F.col("h")))
+    near = Window.partitionBy("source", "i").orderBy("n").rangeBetween(-BAND, BAND)
+    found = full.withColumn("best", F.max(F.struct("h", "n")).over(near)).where(F.col("best.n") == F.col("n"))
+    return found.select("source", "i", (F.col("n") - (BAND - 1)).alias("lo"), F.col("n").alias("hi"), F.col("h").alias("texts"))
+
+
+def _met(limits: DataFrame, judged: DataFrame) -> DataFrame:
+    """``judged`` with ``met``: the limit ``texts, i, lo, hi`` a text has the length of, that of most texts and of the plainest unit; else null."""
+    row = F.struct("texts", (-F.col("i")).alias("i"), "lo", "hi")
+    listed = limits.groupBy("source").agg(F.collect_list(row).alias("_limits"))
+    joined = join_unique(judged, materialise(listed, "limits"), "source")
+    length = lambda x: F.get(F.col("lengths"), -x["i"])
+    slack = lambda x: F.get(F.array(*[F.lit(n) for n in SLACK.values()]), -x["i"])
+    at = F.filter("_limits", lambda x: length(x).between(x["lo"] - slack(x), x["hi"]))
+    return joined.withColumn("met", F.array_max(at)).drop("_limits")
+
+
+def _held(limits: DataFrame, judged: DataFrame) -> DataFrame:
+    """The limits that still hold texts when each text counts at one limit only: one limit shows in several units."""
+    counted = _met(limits, judged).where("met IS NOT NULL").groupBy("source", "met").agg(F.count(F.lit(1)).alias("n"))
+    kept = counted.where(F.col("n") * 2 >= F.col("met.texts"))
+    return kept.select("source", (-F.col("met.i")).alias("i"), "met.lo", "met.hi", F.col("n").alias("texts"))
+
+
 def source_limits(judged: DataFrame) -> DataFrame:
-    """``source, unit, limit, at_limit``: the sharpest spike of each source that has one.
+    """``source, i, lo, hi, texts``: the lengths that limits of a source leave, in unit number ``i``, and the texts that have them.
 
     ``judged`` has rows ``source, ending, lengths`` as ``judge`` makes them. A
-    spike must stand out from the lengths around it, and half of its texts or
-    more must end as if cut: texts of one length by chance mostly do not.
+    limit must stand out from the lengths around it, and half of its texts or
+    more must end as if cut: texts of one length by chance mostly do not. First
+    come limits that texts meet exactly (``lo = hi``), then, among the texts that
+    meet none, those kept to within ``BAND``.
     """
-    each = judged.select("source", "ending", F.posexplode("lengths").alias("i", "n"))
-    bars = each.groupBy("source", "i", "n").agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("ending") == "cut").alias("cut"))
-    # One row per different length here, however many texts have it.
-    near = Window.partitionBy("source", "i").orderBy("n").rangeBetween(-SPIKE_AROUND, SPIKE_AROUND)
-    usual = (F.sum("texts").over(near) - F.col("texts")) / (2 * SPIKE_AROUND)
-    sharp = (F.col("texts") >= SPIKE_TEXTS) & (F.col("texts") >= SPIKE_RATIO * F.col("usual")) & (2 * F.col("cut") >= F.col("texts"))
-    spikes = bars.withColumn("usual", usual).where(sharp)
-    # The plainest unit wins a tie: a limit in characters shows as well in UTF-16 units.
-    best = spikes.groupBy("source").agg(F.max(F.struct("texts", (-F.col("i")).alias("i"), "n")).alias("b"))
-    units = F.array(*[F.lit(u) for u in UNITS])
-    return best.select("source", F.get(units, -F.col("b.i")).alias("unit"), F.col("b.n").alias("limit"), F.col("b.texts").alias("at_limit"))
+    exact = materialise(_held(materialise(_spikes(_bars(judged)), "spikes"), judged), "exact")
+    rest = _met(exact, judged).where("met IS NULL").select("source", "ending", "lengths")
+    bands = materialise(_bands(_bars(rest)), "bands")
+    return exact.unionByName(_held(bands, rest))
 
 
 def _shape(line: Column) -> Column:
@@ -105,20 +170,43 @@ def _shape(line: Column) -> Column:
     return F.concat_ws(" ", begin, F.lit("~"), F.concat_ws(" ", end))
 
 
-def record_shapes(df: DataFrame, text: str) -> list[str]:
-    """Shapes of record lines that another line follows; at most ``1 / SHAPE_SHARE`` of them."""
-    lines = F.split(F.col(text), "\n")
-    inner = df.where(F.col(text).rlike("(?m)" + RECORD)).select(
-        F.explode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line")
-    )
-    counted = inner.where(F.col("line").rlike(RECORD)).groupBy(_shape(F.col("line")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
-    shapes = materialise(counted, "shapes")
-    total = shapes.agg(F.sum("n")).first()[0] or 0
-    common = shapes.where((F.col("n") >= SHAPE_LINES) & (F.col("n") >= SHAPE_SHARE * total))
-    return [r["shape"] for r in common.select("shape").collect()]
+def _outline(line: Column) -> Column:
+    """A line with words and numbers masked, for lines that are more than words: signs tell what they are. Null for others."""
+    capital = F.regexp_replace(line, r"\p{Lu}[\p{L}\p{M}'’\-]*", "\x01")
+    words = F.translate(F.regexp_replace(capital, r"\p{L}[\p{L}\p{M}'’\-]*", "w"), "\x01", "W")
+    masked = F.regexp_replace(words, r"\d+([.,:]\d+)*", "0")
+    return F.when((F.length(line) <= SHAPE_LENGTH) & masked.rlike(r"[^Ww0\s,;()\"'»«”“’.-]|^- |-- "), masked)
+
+
+def _last_line(text: Column) -> Column:
+    return F.substring_index(F.rtrim(text, F.lit(_BLANKS)), "\n", -1)
+
+
+def line_shapes(df: DataFrame, text: str) -> tuple[list[str], list[str]]:
+    """Shapes of record lines that another line follows, and outlines of what texts end with after their last finished sentence.
+
+    At most ``1 / SHAPE_SHARE`` and ``1 / OUTLINE_SHARE`` of them.
+    """
+    column, lines = F.col(text), F.split(F.col(text), "\n")
+    inner = F.filter(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x.rlike(RECORD))
+    records = F.when(column.rlike("(?m)" + RECORD), F.transform(inner, _shape))
+    shown = df.select(records.alias("records"), _last_line(column).alias("last"))
+    prose = ~F.col("last").rlike(FINISHED) & ~F.col("last").rlike(MARKER) & ~F.col("last").rlike(RECORD) & ~F.col("last").rlike(QUERY_LINE)
+    outline = F.when(prose, _outline(F.regexp_extract("last", UNFINISHED, 1)))
+    each = shown.select(F.explode(F.concat(
+        F.transform(F.coalesce("records", F.array().cast("array<string>")), lambda x: F.struct(F.lit(True).alias("record"), x.alias("shape"))),
+        F.array(F.struct(F.lit(False).alias("record"), outline.alias("shape"))),
+    )).alias("x")).where("x.shape IS NOT NULL")
+    shapes = materialise(each.groupBy("x.record", "x.shape").agg(F.count(F.lit(1)).alias("n")), "shapes")
+    totals = {r["record"]: r["n"] for r in shapes.groupBy("record").agg(F.sum("n").alias("n")).collect()}
+    least = F.when(F.col("record"), totals.get(True, 0) * SHAPE_SHARE).otherwise(totals.get(False, 0) * OUTLINE_SHARE)
+    common = shapes.where((F.col("n") >= SHAPE_LINES) & (F.col("n") >= least)).collect()
+    ends = {r["shape"]: r["n"] for r in common if not r["record"]}
+    whole = [x for x, n in ends.items() if not any(y != x and y.startswith(x) and m >= CUT_RATIO * n for y, m in ends.items())]
+    return [r["shape"] for r in common if r["record"]], whole
 
 
-def with_endings(df: DataFrame, text: str, shapes: list[str]) -> DataFrame:
+def with_endings(df: DataFrame, text: str, records: list[str], outlines: list[str]) -> DataFrame:
     """``df`` with a column ``ending``: ``cut``, ``whole`` or ``open`` (whole as far as it tells, but it could go on); null for blank texts."""
     # In steps, as each is used many times: Spark keeps such columns instead of working them out at every use.
     steps = df.withColumn("_stripped", F.rtrim(F.col(text), F.lit(_BLANKS)))
@@ -129,26 +217,27 @@ def with_endings(df: DataFrame, text: str, shapes: list[str]) -> DataFrame:
             "_several": F.instr("_stripped", "\n") > 0,
         }
     )
-    steps = steps.withColumn("_tail", F.substring("_last", -TAIL, TAIL))
-    last, before, several, tail = (F.col(c) for c in ("_last", "_before", "_several", "_tail"))
-    records = F.when(several, before.rlike(RECORD) | (before.rlike(":$") & last.rlike(RECORD))).otherwise(last.rlike(RECORD))
+    last, before, several = (F.col(c) for c in ("_last", "_before", "_several"))
+    steps = steps.withColumn("_finished", last.rlike(FINISHED))
+    finished = F.col("_finished")
+    in_records = F.when(several, before.rlike(RECORD) | (before.rlike(":$") & last.rlike(RECORD))).otherwise(last.rlike(RECORD))
     queries = F.when(several, before.rlike(QUERY_LINE)).otherwise(last.rlike(QUERY_LINE))
-    known = _shape(last).isin(shapes) if shapes else F.lit(False)
+    listed = lambda shape, known: shape.isin(known) if known else F.lit(False)
     plain_style = ~F.col(text).rlike(SENTENCE_END) & ~F.col(text).rlike(r"\p{Lu}\p{Ll}")
-    state = F.when(tail.rlike(r"[\p{L}\p{N}]$"), "open").otherwise("whole")
+    state = F.when(last.rlike(r"[\p{L}\p{N}]$"), "open").otherwise("whole")
     ending = (
         F.when(F.coalesce(F.length("_stripped"), F.lit(0)) == 0, None)
-        .when(tail.rlike(MARKER), "cut")
+        .when(last.rlike(MARKER), "cut")
         .when(queries, F.when(last.rlike(WHOLE_QUERY_LINE), state).otherwise("cut"))
-        .when(records, F.when(known, state).otherwise("cut"))
-        .when(tail.rlike(FINISHED), "whole")
-        .when(last.rlike(CLOSING_LINE), state)
+        .when(in_records, F.when(listed(_shape(last), records), state).otherwise("cut"))
+        .when(finished, "whole")
+        .when(listed(_outline(F.regexp_extract(last, UNFINISHED, 1)), outlines), state)
         .when(~several & last.rlike(TITLE), "whole")
         # A text that nowhere ends a sentence with a mark tells nothing by not doing so at its end.
         .when(plain_style, state)
         .otherwise("cut")
     )
-    return steps.withColumn("ending", ending).drop("_stripped", "_last", "_before", "_several", "_tail")
+    return steps.withColumn("ending", ending).drop("_stripped", "_last", "_before", "_several", "_finished")
 
 
 def judge(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -156,50 +245,49 @@ def judge(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     rows = spread(df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).cast("string").alias("text")))
     # Blank texts go by the text; a filter on the ending would have that worked out a second time.
     shown = rows.where(F.length(F.rtrim(F.col("text"), F.lit(_BLANKS))) > 0)
-    judged = with_endings(shown, "text", record_shapes(rows, "text"))
+    judged = with_endings(shown, "text", *line_shapes(rows, "text"))
     return materialise(judged.select("key", "source", "ending", stored_lengths(F.col("text")).alias("lengths")), "judged")
 
 
 def _decide(judged: DataFrame, limits: DataFrame) -> DataFrame:
-    # One row per source that has a limit; Spark broadcasts it only where it is small.
-    found = limits.select(F.col("source").alias("_source"), "unit", "limit")
-    number = F.array_position(F.array(*[F.lit(u) for u in UNITS]), F.col("unit"))
-    length = F.get(F.col("lengths"), number.cast("int") - 1)
-    slack = F.when(F.col("unit").endswith("utf8"), 3).otherwise(0)
-    met = F.coalesce(length.between(F.col("limit") - slack, F.col("limit")), F.lit(False))
-    joined = judged.join(found, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("at_limit", met)
-    cut = (F.col("ending") == "cut") | ((F.col("ending") == "open") & F.col("at_limit"))
-    return joined.select("key", "source", "ending", "at_limit", cut.alias("truncated"))
+    by_ending, by_length = F.col("ending") == "cut", F.col("at_limit") & F.col("ending").isin("cut", "open")
+    decided = _met(limits, judged).withColumn("at_limit", F.col("met").isNotNull())
+    evidence = F.when(by_ending & by_length, "both").when(by_ending, "ending").when(by_length, "length")
+    return decided.select("key", "source", "ending", "at_limit", "met", evidence.alias("evidence"), evidence.isNotNull().alias("truncated"))
 
 
 def truncated_texts(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """``key, source, ending, at_limit, truncated`` of every row of ``df`` with a text that is not blank.
+    """``key, source, ending, at_limit, evidence, truncated`` of every row of ``df`` with a text that is not blank.
 
-    ``truncated`` is true if the ending is cut, or is open and the text has the
-    length of its source's limit (for limits in bytes, or up to three less, as a
-    character is not split). Null and blank texts are left out; rows with a null
-    source form a source of their own; repeated rows stay repeated. Empty tables
-    give no rows, and other columns are ignored.
+    ``truncated`` is true if the ending is cut, or is open and the text has a
+    length that a limit of its source leaves; ``evidence`` says whether that shows in the
+    ``length``, in the ``ending`` or in ``both``, and is null for whole texts. Null and blank texts are
+    left out; rows with a null source form a source of their own; repeated rows
+    stay repeated. Empty tables give no rows, and other columns are ignored.
     """
     judged = judge(df, key, source, text)
-    decided = _decide(judged, source_limits(judged))
-    return decided.select(F.col("key").alias(key), F.col("source").alias(source), "ending", "at_limit", "truncated")
+    decided = _decide(judged, materialise(source_limits(judged), "kept"))
+    return decided.select(F.col("key").alias(key), F.col("source").alias(source), "ending", "at_limit", "evidence", "truncated")
 
 
 def truncation_rates(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """``source, texts, truncated, share`` and the source's ``unit, limit, at_limit`` (null where no limit shows)."""
+    """``source, texts, truncated, share, by_length, by_ending`` and the source's ``limits``.
+
+    ``limits`` is a list of ``unit, limit, within, texts``, empty where none shows: the greatest
+    length that is left, how far below it lengths lie, and how many texts have one of them.
+    """
     judged = judge(df, key, source, text)
-    limits = materialise(source_limits(judged), "limits")
+    limits = materialise(source_limits(judged), "kept")
+    has = lambda *kinds: F.count_if(F.col("evidence").isin(*kinds))
     rates = _decide(judged, limits).groupBy("source").agg(
-        F.count(F.lit(1)).alias("texts"), F.count_if("truncated").alias("truncated")
-    )
-    joined = rates.join(limits.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
-    return joined.select(
-        F.col("source").alias(source),
-        "texts",
-        "truncated",
-        F.round(F.col("truncated") / F.col("texts"), 6).alias("share"),
-        "unit",
-        "limit",
-        "at_limit",
-    )
+        F.count(F.lit(1)).alias("texts"), F.count_if("truncated").alias("truncated"),
+        has("length", "both").alias("by_length"), has("ending", "both").alias("by_ending"),
+    )
+    units = F.array(*[F.lit(u) for u in UNITS])
+    row = F.struct(F.get(units, F.col("i")).alias("unit"), F.col("hi").alias("limit"), (F.col("hi") - F.col("lo")).alias("within"), "texts")
+    listed = limits.groupBy(F.col("source").alias("_source")).agg(F.sort_array(F.collect_list(row)).alias("limits"))
+    # One row per source on either side.
+    joined = rates.join(listed, F.col("source").eqNullSafe(F.col("_source")), "left")
+    share = F.round(F.col("truncated") / F.col("texts"), 6)
+    limits = F.coalesce("limits", F.array().cast(listed.schema["limits"].dataType))
+    return joined.select(F.col("source").alias(source), "texts", "truncated", share.alias("share"), "by_length", "by_ending", limits.alias("limits"))

@@ -35,3 +35,26 @@ def test_long_record_and_small_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found == {"a": (100_001, 1), "b": (2, 2)}
+
+
+@pytest.mark.parametrize("held", [400_000, 3])
+def test_record_totals(spark, monkeypatch, held):
+    monkeypatch.setattr(f, "HELD_TERMS", held)
+    rng = random.Random(8)
+    rows, latest = [], {}
+    for record in range(400):
+        for at in sorted(rng.sample(range(50), rng.choice([1, 1, 2, 3]))):
+            row = (record, at if at else None, rng.choice([None, "", "hot", "hot", f"t{rng.randrange(40)}"]), rng.choice([None, 3, 10**12]), rng.randrange(9), "x")
+            rows.append(row)
+            if record not in latest or (row[1] or -1) > (latest[record][1] or -1):
+                latest[record] = row
+    rows += [(None, 1, "hot", 5, 5, "x")] + rows[:40]
+    rng.shuffle(rows)
+    wanted = {}
+    for _, _, term, a, b, _ in latest.values():
+        n, x, y = wanted.get(term, (0, 0, 0))
+        wanted[term] = (n + 1, x + (a or 0), y + b)
+    df = spark.createDataFrame(rows, "id bigint, at bigint, word string, a bigint, b bigint, term string").repartition(3)
+    found = f.record_totals(df, "id", "word", ["a", "b"], "at").collect()
+    assert {r.term: (r.records, r.a, r.b) for r in found} == wanted
+    assert f.record_totals(df.limit(0), "id", "word", ["a"], "at").count() == 0

@@ -71,3 +71,19 @@ def test_nothing(spark):
     assert p.pack(df, "doc", "size").count() == 0
     with pytest.raises(ValueError, match="capacity"):
         p.pack(df, "doc", "size", 0)
+
+
+def test_large_capacities_and_equal_keys(spark, monkeypatch):
+    monkeypatch.setattr(p, "LOT_ITEMS", 2)
+    sizes = [900_000, 700_000, 600_000, 400_000, 300_000, 5, 5, 5, 3 << 20]
+    df = spark.createDataFrame([(None, s) for s in sizes], "doc bigint, size bigint")
+    boxes = defaultdict(list)
+    for r in p.pack(df, "doc", "size", 1 << 20).collect():
+        boxes[r.container].append((r.start, r.length))
+    for parts in boxes.values():
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+        assert at <= 1 << 20
+    assert sorted(n for parts in boxes.values() for _, n in parts) == sorted([*sizes[:-1], *[1 << 20] * 3])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termloom.llm import truncation as t
 
 SHAPES = ["* Cache ~ cleared twice", "* Merged ~ 0 ms", "20 ~ hits=0 took=0ms", "- Batch ~ of W", "0- ~ hits=0 took=0ms"]
+OUTLINES = ["* W", "-- W", "W: W", "[0] W, 0", "{{w}}", "| 0 | 0 |", "~~~~", "w://w.w/w", "w://w.w/0"]
 CUT = [
     "The castle was bui", "The castle. It was the", "The castle. It was the ", "The castle stands…", "The castle stands...", "The cast [more]",
     "One. Two (19", "One.\n\n== Hist", "Done.\nhttps://exa", "COUNT\ta AND", "COUNT\ta\nCOU", "* Cache for A cleared twice\n* Merged segment 2 of sh",
@@ -27,7 +28,7 @@ OPEN = [
 def test_endings(spark):
     rows = [(x, "cut") for x in CUT] + [(x, "whole") for x in WHOLE] + [(x, "open") for x in OPEN] + [("", None), (None, None), (" \n ", None)]
     df = spark.createDataFrame(rows, "text string, wanted string")
-    found = t.with_endings(df, "text", SHAPES).where("NOT (wanted <=> ending)")
+    found = t.with_endings(df, "text", SHAPES, OUTLINES).where("NOT (wanted <=> ending)")
     assert [tuple(r) for r in found.collect()] == []
 
 
@@ -69,22 +70,57 @@ def stored(spark):
 
 def test_limits(stored):
     judged = t.judge(stored, "doc_id", "source", "text")
-    found = {r.source: (r.unit, r.limit) for r in t.source_limits(judged).collect()}
-    assert found == {source: (source, 150) for source in STORES}
+    found = {r.source: (t.UNITS[r.i], r.lo, r.hi) for r in t.source_limits(judged).collect()}
+    assert found == {source: (source, 150, 150) for source in STORES}
 
 
 def test_truncated(stored):
     wanted = {r.doc_id for r in stored.where("ending = 'cut'").collect()}
     found = t.truncated_texts(stored, "doc_id", "source", "text")
     assert {r.doc_id for r in found.where("truncated").collect()} == wanted
-    rates = {r.source: (r.texts, r.truncated) for r in t.truncation_rates(stored, "doc_id", "source", "text").collect()}
-    assert rates["none"] == (80, 0) and rates[None] == (1, 1)
+    rates = {r.source: r for r in t.truncation_rates(stored, "doc_id", "source", "text").collect()}
+    assert [rates[s][1:3] for s in ("none", None)] == [(80, 0), (1, 1)]
+    assert [tuple(x)[:3] for x in rates["utf8"].limits] == [("utf8", 150, 0)] and rates["none"].limits == []
+    assert rates["chars"].by_length == rates["chars"].by_ending == rates["chars"].truncated > 10
     assert t.truncated_texts(stored.limit(0), "doc_id", "source", "text").count() == 0
 
 
 def test_open_endings_count_at_the_limit_only(spark):
     cut = [(10 + i, "s", f"Well. {'ab' * i} the end was no"[:22]) for i in range(8)]
     names = [(20, "s", "It was all.\n* Abcdefgh"), (21, "s", "It was.\n* Abcdefgh")]
+    names += [(30 + i, "other", "It was so.\n* Abc" + "d" * i) for i in range(8)]  # so that such lines are known
     df = spark.createDataFrame([*cut, *names], "doc_id bigint, source string, text string")
     found = {r.doc_id: (r.at_limit, r.truncated) for r in t.truncated_texts(df, "doc_id", "source", "text").collect()}
     assert found[20] == (True, True) and found[21] == (False, False)
+
+
+def _sentences(rng, n):
+    words = ["war", "le", "church", "built", "1850", "river", "bridge", "village", "of"]
+    return " ".join(" ".join(["The", *rng.choices(words, k=rng.randint(3, 9)), "end."]) for _ in range(n))
+
+
+def test_bands_and_several_limits(spark):
+    """A store that goes back to the end of a word, one with two limits, and one that adds a mark."""
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        long = _sentences(rng, 60)
+        rows.append(("band", long[:400].rsplit(" ", 1)[0] if i % 2 else _sentences(rng, 1 + i % 20)))
+        rows.append(("two", long[:300] if i % 4 == 0 else long[:500] if i % 4 == 1 else _sentences(rng, 1 + i % 20)))
+        rows.append(("mark", long[:350] + "..." if i % 2 else _sentences(rng, 1 + i % 20)))
+        rows.append(("none", _sentences(rng, 1 + i % 20)))
+    df = spark.createDataFrame([(i, s, x) for i, (s, x) in enumerate(rows)], "doc_id bigint, source string, text string")
+    limits = {r.source: [tuple(x)[:3] for x in r.limits] for r in t.truncation_rates(df, "doc_id", "source", "text").collect()}
+    assert limits["two"] == [("chars", 300, 0), ("chars", 500, 0)] and limits["mark"] == [("chars", 353, 0)] and limits["none"] == []
+    (unit, limit, within), = limits["band"]
+    assert unit == "chars" and 396 <= limit <= 400 and within == t.BAND - 1
+    found = {r.doc_id for r in t.truncated_texts(df, "doc_id", "source", "text").where("truncated").collect()}
+    assert found == {i for i, (_, x) in enumerate(rows) if not x.endswith("end.")}
+
+
+def test_shapes_are_learnt(spark):
+    rows = [("It was.\n-- Nelvoron",), ("It is. -- Tak",), ("Category: Turpael",), ("It is.\nhttps://a.example/b",), ("The castle of the",), ("It was.",)] * 4
+    rows += [("It was.\n-- Nelvoron",)] * 20 + [("It was.\n--",)] * 4 + [("a\nhttps://a",)] * 2 + [(None,), ("",)]
+    records, outlines = t.line_shapes(spark.createDataFrame(rows, "text string"), "text")
+    assert records == [] and sorted(outlines) == ["-- W", "W: W", "w://w.w/w"]
+    rows = [("* Cache for A cleared twice\n* Cache for B cleared twice",)] * 4 + [(None,), ("",)]
+    assert t.line_shapes(spark.createDataFrame(rows, "text string"), "text") == (["* Cache ~ cleared twice"], [])
