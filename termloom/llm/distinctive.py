@@ -24,7 +24,7 @@ TOLERANCE, STEPS = 1e-3, 100
 #: A (term, count) that alone holds this share of what a reducer gets is joined by broadcast.
 HOT_SHARE = 1 / 8
 #: Bytes of scores that may be broadcast whole.
-BROADCAST_BYTES = 32_000_000
+BROADCAST_BYTES = 8_000_000
 
 
 def fit(counts: np.ndarray, records: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
