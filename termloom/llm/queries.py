@@ -189,8 +189,14 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncated_texts(table(spark, folder, "documents"), "doc_id", "source", "text").where("truncated").select("doc_id")
 
 
+def p9_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """evidence, documents: how many of the cut texts show in their length, their ending, or both."""
+    found = truncated_texts(table(spark, folder, "documents"), "doc_id", "source", "text").where("truncated")
+    return found.groupBy("evidence").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def p9_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """source, texts, truncated, share, unit, limit, at_limit."""
+    """source, texts, truncated, share, by_length, by_ending, limits."""
     return truncation_rates(table(spark, folder, "documents"), "doc_id", "source", "text")
 
 
@@ -199,6 +205,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_top_terms, p1_sketch, p3_found, p3_classes, p3_canonical, p4_found, p4_scores, p4_elite, p5_found, p5_overlaps,
-            p6_found, p6_frequencies, p7_ids, p8_found, p8_packing, p8_containers, p8_violations, p9_found, p9_sources,
+            p6_found, p6_frequencies, p7_ids, p8_found, p8_packing, p8_containers, p8_violations, p9_found, p9_evidence, p9_sources,
         )
     }

@@ -110,21 +110,21 @@ def _spikes(bars: DataFrame) -> DataFrame:
         after = _upto("texts", far) - _upto("texts", 0)
         # Near by, either side: a band has lengths on one side of each of its own.
         usual.append(F.greatest(before, after) / far if far == NEAR else (before + after) / (2 * far))
-    # Texts that missed the limit for a character's sake are fewer to a length than those that met it.
-    missed = F.coalesce(*[F.when(F.get(gaps, F.col("i")) == g, (_upto("texts", -1) - _upto("texts", -g - 1)) / g) for g in below])
+    # Texts that missed the limit for a character's sake are fewer than those that met it.
+    missed = F.coalesce(*[F.when(F.get(gaps, F.col("i")) == g, _upto("texts", -1) - _upto("texts", -g - 1)) for g in below])
     found = bars.withColumns({"usual": F.greatest(*usual), "missed": missed})
-    sharp = _standing_out(F.col("texts"), F.col("usual")) & (F.col("texts") >= 2 * F.col("missed")) & (2 * F.col("cut") >= F.col("texts"))
+    sharp = _standing_out(F.col("texts"), F.col("usual")) & (F.col("texts") >= F.col("missed")) & (2 * F.col("cut") >= F.col("texts"))
     return found.where(sharp).select("source", "i", F.col("n").alias("lo"), F.col("n").alias("hi"), "texts")
 
 
 def _bands(bars: DataFrame) -> DataFrame:
-    """``source, i, lo, hi, texts`` of runs of ``BAND`` lengths that stand out, the fullest of those that overlap."""
+    """``source, i, lo, hi, texts`` of runs of ``BAND`` lengths that stand out; of those that overlap the first with the most cut texts."""
     held = bars.withColumns({"h": _upto("texts", 0) - _upto("texts", -BAND), "c": _upto("cut", 0) - _upto("cut", -BAND)})
     sides = _upto("texts", -BAND) - _upto("texts", -BAND - 2 * AROUND), _upto("texts", 2 * AROUND) - _upto("texts", 0)
     held = held.withColumn("usual", F.greatest(*sides) * (BAND / (2 * AROUND)))
     full = held.where(_standing_out(F.col("h"), F.col("usual")) & (2 * F.col("c") >= F.col("h")))
     near = Window.partitionBy("source", "i").orderBy("n").rangeBetween(-BAND, BAND)
-    found = full.withColumn("best", F.max(F.struct("h", "n")).over(near)).where(F.col("best.n") == F.col("n"))
+    found = full.withColumn("best", F.max(F.struct("c", (-F.col("n")).alias("n"))).over(near)).where(-F.col("best.n") == F.col("n"))
     return found.select("source", "i", (F.col("n") - (BAND - 1)).alias("lo"), F.col("n").alias("hi"), F.col("h").alias("texts"))
 
 
