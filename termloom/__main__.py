@@ -3,6 +3,7 @@
 python -m termloom build INDEX PATH... [--base DIR]
 python -m termloom query INDEX [QUERY...]        queries from lines COMMAND<TAB>QUERY on stdin if none is given
 python -m termloom stats INDEX
+python -m termloom run PATH... --handler NAME    one way of answering queries over a corpus, timed; see ``termloom.handlers``
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ import time
 from pyspark.sql import SparkSession
 
 from termloom.context import BooleanContext
+from termloom.handlers import HANDLERS
 from termloom.operators.postings import chunk_report
 from termloom.plans.parser import query_of_line
+from termloom.plans.planner import BLOCK
+from termloom.session import ship
 from termloom.sources.corpus import number_documents, read_paths
 from termloom.sources.index_store import build_index, save_index
 
@@ -32,10 +36,25 @@ def main(arguments: list[str] | None = None) -> int:
     query.add_argument("queries", nargs="*")
     stats = commands.add_parser("stats")
     stats.add_argument("index")
+    run = commands.add_parser("run")
+    run.add_argument("paths", nargs="+")
+    run.add_argument("--base", default="")
+    run.add_argument("--handler", choices=sorted(HANDLERS), required=True)
+    run.add_argument("-p", "--partition-num", type=int, help="partitions of a shuffle")
+    run.add_argument("-b", "--batch-size", type=int, default=BLOCK, help="documents in a block of the statistics")
+    run.add_argument("-d", "--dump-path", help="where the index is kept")
     options = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("termloom").getOrCreate()
     began = time.time()
-    if options.command == "build":
+    if options.command == "run":
+        if options.partition_num:
+            spark.conf.set("spark.sql.shuffle.partitions", options.partition_num)
+        documents = number_documents(read_paths(spark, options.base, options.paths).drop("path"))
+        asked = [q for q in map(query_of_line, sys.stdin.read().splitlines()) if q] if options.handler == "boolean-query" else []
+        found = HANDLERS[options.handler](ship(spark), documents, dump=options.dump_path, size=options.batch_size, queries=asked)
+        for row in found.toLocalIterator():
+            print(*row, sep="\t", flush=True)
+    elif options.command == "build":
         documents = number_documents(read_paths(spark, options.base, options.paths).drop("path"))
         save_index(build_index(documents), options.index, mode="overwrite")
     else:

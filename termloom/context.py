@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -53,10 +54,20 @@ class BooleanQuery:
     def show(self, n: int = 20) -> None:
         self.docs().show(n)
 
-    def explain(self, mode: str = "formatted") -> str:
-        """The query's plan and, printed by Spark, the physical plan."""
-        self.count_agg().explain(mode)
-        return self.plan.explain()
+    def explain(self, mode: str = "formatted", analyze: bool = False) -> str:
+        """The query's plan and, printed by Spark, the physical plan.
+
+        With ``analyze`` the query is run first: the plan is the one that ran, and the
+        count and the seconds it took come with it.
+        """
+        counted = self.count_agg()
+        ran = ""
+        if analyze:
+            began = time.perf_counter()
+            n = counted.collect()[0]["n"]
+            ran = f"\nmatches: {n}\nseconds: {time.perf_counter() - began:.3f}"
+        counted.explain(mode)
+        return self.plan.explain() + ran
 
 
 class BooleanContext:
@@ -69,6 +80,11 @@ class BooleanContext:
         self._indexes: dict[str, Index] = {}
         self._stats: dict[str, dict[str, TermStats | None]] = {}
 
+    @classmethod
+    def with_state(cls, spark: SparkSession) -> BooleanContext:
+        """A context on a session that exists."""
+        return cls(spark)
+
     @classmethod
     def with_config(cls, config: dict[str, str]) -> BooleanContext:
         """A context on a session with these settings."""
@@ -91,6 +107,10 @@ class BooleanContext:
         """Build and register an index of documents, without writing it."""
         return self.register_index(name, build_index(documents, doc_id, text))
 
+    def index_provider(self, name: str) -> Index:
+        """The registered index; another name for ``index``."""
+        return self.index(name)
+
     def index(self, name: str) -> Index:
         if name not in self._indexes:
             raise UnknownIndexError(name)

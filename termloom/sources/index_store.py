@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.operators.postings import build_postings, dictionary
+from termloom.plans.planner import BLOCK
 
 TABLES = ("postings", "terms", "documents")
 
@@ -19,13 +20,14 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     documents: DataFrame
+    size: int = BLOCK
 
 
-def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
-    """An index of documents, not yet written."""
+def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = BLOCK) -> Index:
+    """An index of documents, not yet written; its statistics are by blocks of ``size`` documents."""
     postings = build_postings(documents, doc_id, text)
     ids = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id")).distinct()
-    return Index(postings, dictionary(postings), ids)
+    return Index(postings, dictionary(postings, size), ids, size)
 
 
 def save_index(index: Index, path: str, mode: str = "errorifexists") -> None:
@@ -36,7 +38,7 @@ def save_index(index: Index, path: str, mode: str = "errorifexists") -> None:
     spread = index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
     spread.write.mode(mode).parquet(f"{path}/postings")
     written = index.postings.sparkSession.read.parquet(f"{path}/postings")
-    dictionary(written).repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
+    dictionary(written, index.size).repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
     index.documents.write.mode(mode).parquet(f"{path}/documents")
 
 

@@ -80,6 +80,8 @@ def test_context(spark, index, capsys):
     assert query.collect()[0]["n"] == 1
     assert [tuple(r) for r in query.docs_with_tf().orderBy("term").collect()] == [(9, "b", 1), (9, "d", 1)]
     assert "strategy: all" in query.explain()
+    assert "matches: 1\n" in query.explain(analyze=True)
+    assert BooleanContext.with_state(spark).session_id == context.session_id and context.index_provider("t") is index
     query.show()
     assert "HashAggregate" in capsys.readouterr().out
     assert spark.table("t_postings").count() == 20

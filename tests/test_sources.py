@@ -1,6 +1,12 @@
+import io
 import json
 
+import pytest
+
+from termloom.__main__ import main
+from termloom.handlers import HANDLERS
 from termloom.sources.corpus import number_documents, read_directory, read_file, read_paths
+from termloom.sources.index_store import load_index
 from termloom.sources.query_log import logged_queries, read_lines
 from termloom.sources.tables import items, metas
 from termloom.streaming.incremental import index_stream, read_streamed, running_counts
@@ -72,3 +78,23 @@ def test_stream(spark, tmp_path):
     running = counted.option("checkpointLocation", str(tmp_path / "check2")).trigger(availableNow=True).start()
     running.awaitTermination(120)
     assert sorted(r.n_docs for r in spark.table("arrivals").collect() if r.start is not None) == [1, 2]
+
+
+@pytest.mark.parametrize("handler", sorted(HANDLERS))
+def test_command_line(spark, tmp_path, monkeypatch, capsys, handler):
+    write(tmp_path / "AA" / "wiki_00", [{"id": str(i), "text": f"castle river word{i % 7} museum, {'bridge' if i % 2 else 'tower'}"} for i in range(40)])
+    monkeypatch.setattr("sys.stdin", io.StringIO("COUNT\tcastle AND bridge\nnothing\nCOUNT\ttower OR word3"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert main(["run", "AA", "--base", str(tmp_path), "--handler", handler, "-p", "3", "-b", "8", "-d", str(tmp_path / "index")]) == 0
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    lines = [line.split("\t") for line in capsys.readouterr().out.splitlines()]
+    if handler == "load-data":
+        assert lines == [["40", "40"]]
+    elif handler == "boolean-query":
+        assert sorted(lines) == [["0", "20"], ["1", "23"]]
+        assert load_index(spark, str(tmp_path / "index")).terms.where("term = 'castle'").first()["n_blocks"] == 5
+    else:
+        texts = [r["text"] for r in read_directory(spark, str(tmp_path / "AA")).collect()]
+        assert len(texts) == 40 and len(lines) == 6  # 12 words of three bytes or more, in pairs
+        assert all(0 <= int(n) <= 40 for *_, n in lines)

@@ -12,6 +12,7 @@ from termloom.plans.planner import TermStats, estimate, plan
 a, b, c, d = (Term(t) for t in "abcd")
 
 
+# Texts and trees whose results are part of the query languages' contract.
 @pytest.mark.parametrize(
     ("text", "shown"),
     [
@@ -143,6 +144,7 @@ def test_rewrites_keep_the_meaning():
 
 
 def test_estimates_and_order():
+    # The tree, its selectivities and what they come to are part of the planner's contract.
     stats = {str(i): TermStats(i, i / 10) for i in (1, 2, 3, 4)}
     tree = flatten(And((Term("4"), And((Term("1"), Or((Term("3"), Term("2"))))))))
     found = estimate(tree, stats)
