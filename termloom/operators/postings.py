@@ -33,6 +33,12 @@ def build_postings(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def document_terms(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``term, doc_id`` of all documents without counts and without a shuffle; a document of several rows may have a term several times."""
+    texts = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return spread(texts).select(F.explode(F.array_distinct(tokens("text"))).alias("term"), "doc_id")
+
+
 def term_blocks(postings: DataFrame, size: int = BLOCK) -> DataFrame:
     """``term, block, n_docs``: documents of each term in each block."""
     return postings.groupBy("term", block_of(size=size).alias("block")).agg(F.count(F.lit(1)).alias("n_docs"))

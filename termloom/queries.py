@@ -16,7 +16,7 @@ from termloom.plans.ast import And, Node, Not, Or, Term, flatten, simplify
 from termloom.plans.builder import BooleanPredicateBuilder
 from termloom.plans.parser import parse_query
 from termloom.session import scratch_path
-from termloom.sources.corpus import number_documents, read_directory
+from termloom.sources.corpus import number_documents, read_directory, read_paths
 from termloom.sources.index_store import load_or_build
 from termloom.sources.query_log import logged_queries
 from termloom.sources.tables import items, metas, table
@@ -107,6 +107,32 @@ def builder_must_not(spark: SparkSession, folder: str) -> DataFrame:
     return _count(boolean.by_pivot(_postings(spark, folder), flatten(built)))
 
 
+def builder_with_should(spark: SparkSession, folder: str) -> DataFrame:
+    either = BooleanPredicateBuilder.must(["the", "castle"]).with_should(BooleanPredicateBuilder.must(["river", "bridge"])).with_should("museo")
+    return _count(boolean.by_pivot(_postings(spark, folder), flatten(either.build())))
+
+
+def tree_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    """node, selectivity, rank, cumulative of a conjunction and of its children, as the planner estimates them."""
+    context = BooleanContext(spark)
+    context.index_documents("documents", _documents(spark, folder))
+    root = context.boolean("documents", "the AND (castle OR river)").plan.estimates
+    rows = [("and" if n is root else "or" if n.children else str(n.node), n.selectivity, n.rank, n.cumulative) for n in (root, *root.children)]
+    found = spark.createDataFrame(rows, "node string, selectivity double, rank double, cumulative double")
+    return found.select("node", *[F.round(c, 6).alias(c) for c in ("selectivity", "rank", "cumulative")])
+
+
+def json_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """lang, n_docs, n_chars of the documents written as JSON lines by language, the folders read by their names."""
+    path = scratch_path(spark, "corpus")
+    written = _documents(spark, folder).select(F.col("doc_id").cast("string").alias("id"), "text", F.coalesce("lang", F.lit("none")).alias("lang"))
+    written.write.partitionBy("lang").json(path)
+    folders = [f"lang={r[0]}" for r in written.select("lang").distinct().collect()]  # a handful of languages
+    read = read_paths(spark, path, folders) if folders else spark.createDataFrame([], "id string, text string, path string")
+    by_lang = read.groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"))
+    return by_lang.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text").cast("bigint")).alias("n_chars"))
+
+
 def count_valid(spark: SparkSession, folder: str) -> DataFrame:
     return boolean.count_valid(_documents(spark, folder), "text")
 
@@ -130,13 +156,14 @@ def _batch(spark: SparkSession) -> DataFrame:
 
 
 def query_log_batch(spark: SparkSession, folder: str) -> DataFrame:
-    return count_queries(_batch(spark), _postings(spark, folder))
+    return count_queries(_batch(spark), postings.document_terms(_documents(spark, folder)))
 
 
 def query_log_counts(spark: SparkSession, folder: str) -> DataFrame:
     """query_id, n: every query of the log on the items."""
-    indexed = postings.build_postings(items(table(spark, folder, "wiki_item")), "seq", "text")
-    return count_queries(logged_queries(table(spark, folder, "query_log")), indexed)
+    # Sets of documents need no counts, and a batch does not mind repeats.
+    held = postings.document_terms(items(table(spark, folder, "wiki_item")), "seq", "text")
+    return count_queries(logged_queries(table(spark, folder, "query_log")), held)
 
 
 def _not_both() -> Node:
@@ -294,7 +321,7 @@ def queries() -> dict[str, Query]:
         tokenize_stats, builder_must_should, builder_must_not, count_valid, matching_docs, docs_with_tf, frequency_columns,
         query_log_batch, query_log_counts, candidate_blocks, pruned_count, rank_order, bitmap_and, bitmap_or, semi_join_and,
         union_or, forward_scan, dense_matrix, split_join, split_join_bitand, split_bitand, split_bitor, corpus_running_total,
-        not_by_sets, pruned_not, stored_index_counts, stored_dictionary, json_corpus, bitmap_and_ids, container_docs, matrix_pairs,
+        builder_with_should, tree_estimates, json_paths, not_by_sets, pruned_not, stored_index_counts, stored_dictionary, json_corpus, bitmap_and_ids, container_docs, matrix_pairs,
         term_length_histogram, p2_found, p2_key_totals,
     )
     over = {
@@ -379,6 +406,17 @@ def oracle_sql() -> dict[str, str]:
             count(DISTINCT term) AS n_terms FROM tok""",
         "builder_must_should": _counted("{the} AND {of} AND ({castle} OR {museum})"),
         "builder_must_not": _counted("{the} AND {of} AND NOT {castle} AND NOT {river}"),
+        "builder_with_should": _counted("({the} AND {castle}) OR ({river} AND {bridge}) OR {museo}"),
+        "tree_estimates": f"""WITH {_DICTIONARY}, s AS (SELECT
+                coalesce(max(CASE WHEN term = 'the' THEN s END), 0) AS t, coalesce(max(CASE WHEN term = 'castle' THEN s END), 0) AS c,
+                coalesce(max(CASE WHEN term = 'river' THEN s END), 0) AS r
+                FROM (SELECT term, count(*) / (512.0 * count(DISTINCT doc_id // 512)) AS s FROM posting GROUP BY term)),
+            e AS (SELECT 'the' AS node, t AS s, 1 AS leaves FROM s UNION ALL SELECT 'or', c + r * (1 - c), 2 FROM s
+                UNION ALL SELECT 'and', t * (c + r * (1 - c)), 3 FROM s)
+            SELECT node, round(CAST(s AS DOUBLE), 6) AS selectivity, round((CAST(s AS DOUBLE) - 1) / leaves, 6) AS rank,
+                round(1 - pow(1 - CAST(s AS DOUBLE), 8), 6) AS cumulative FROM e""",
+        "json_paths": """SELECT coalesce(lang, 'none') AS lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars
+            FROM documents GROUP BY ALL""",
         "count_valid": "SELECT count(text) AS n FROM documents",
         "matching_docs": f"WITH {_TOKENS} {_matches(NESTED[1])}",
         "docs_with_tf": f"""WITH {_POSTING} SELECT doc_id, term, tf FROM posting

@@ -68,8 +68,11 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores if it has fewer partitions than there are.
 
     For work that costs far more per row than moving the row does, on tables of a
-    few files; a table of many splits is left as it is.
+    few files; a table of many splits is left as it is, and so is what a shuffle
+    has dealt already: asking for its partitions would run that shuffle.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

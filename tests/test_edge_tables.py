@@ -4,7 +4,7 @@ from edge_tables import write_empty, write_with_nulls
 
 from termloom import queries as core
 
-COUNTS = {*core.BOOLEAN, "tokenize_stats", "builder_must_should", "builder_must_not", "count_valid", "pruned_count", "bitmap_and", "bitmap_or", "semi_join_and", "union_or", "forward_scan", "not_by_sets", "pruned_not"}
+COUNTS = {*core.BOOLEAN, "tokenize_stats", "builder_must_should", "builder_must_not", "count_valid", "pruned_count", "bitmap_and", "bitmap_or", "semi_join_and", "union_or", "forward_scan", "not_by_sets", "pruned_not", "builder_with_should"}
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +24,8 @@ def test_empty_tables(spark, empty, name):
         assert len(rows) == 1 and not any(rows[0])
     elif name in ("query_log_batch", "stored_index_counts", "matrix_pairs"):
         assert all(r.n == 0 for r in rows)
+    elif name == "tree_estimates":
+        assert [r.selectivity for r in rows] == [0.0]
     else:
         assert rows == []
 

@@ -1,7 +1,9 @@
+import os
 import random
 
 import pytest
 
+from termloom import session
 from termloom.context import BooleanContext
 from termloom.errors import UnknownIndexError
 from termloom.functions.analysis import query_tokens
@@ -281,3 +283,21 @@ def test_index_store(spark, tmp_path):
     assert context.count("stored", "red AND fox") == 1
     with pytest.raises(UnknownIndexError):
         context.register_index("none", str(tmp_path / "none"))
+
+
+def test_intermediate_tables_go_with_their_block(spark):
+    before = session.materialise(spark.range(3), "kept")
+    with session.discarding():
+        inside = session.materialise(spark.range(3), "gone")
+        files = [f.removeprefix("file://") for f in inside.inputFiles()]
+        assert files and all(os.path.exists(f) for f in files)
+    assert not any(os.path.exists(f) for f in files)
+    assert before.count() == 3
+
+
+def test_few_files_are_spread_but_shuffled_rows_are_not(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert session.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    shuffled = one.groupBy("id").count()
+    assert session.spread(shuffled) is shuffled
