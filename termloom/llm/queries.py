@@ -64,26 +64,24 @@ def _scores(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     return score_postings(materialise(postings, "postings"))
 
 
-def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """seq, term, tf, df, tfidf, elite of every item's terms."""
+def _weighed(spark: SparkSession, folder: str) -> DataFrame:
     scored, records = _scores(spark, folder)
     weight = F.col("tf") / F.col("length") * F.log(F.lit(records) / F.col("df")) / F.log(F.lit(float(max(records, 2))))
     return scored.select("seq", "term", "tf", "df", weight.alias("tfidf"), "elite")
 
 
+def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """seq, term, tf, df, tfidf, elite of every item's terms, rounded, so that another fit in floating point gives the same."""
+    return _weighed(spark, folder).select("seq", "term", "tf", "df", *[F.round(c, 6).alias(c) for c in ("tfidf", "elite")])
+
+
 #: Terms an item is more likely about than not.
 ELITE = 0.5
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The posterior picks the candidates; counts and weights are then checked exactly."""
-    return p4_scores(spark, folder).where(F.col("elite") >= ELITE).where("tf >= 3 AND tfidf >= 0.0377").select("seq", "term")
-
-
-def p4_elite(spark: SparkSession, folder: str) -> DataFrame:
-    """seq, term, tf, df, tfidf, elite, rounded, so that another fit in floating point gives the same."""
-    rounded = [F.round(c, 6).alias(c) for c in ("tfidf", "elite")]
-    return p4_scores(spark, folder).select("seq", "term", "tf", "df", *rounded)
+    return _weighed(spark, folder).where(F.col("elite") >= ELITE).where("tf >= 3 AND tfidf >= 0.0377").select("seq", "term")
 
 
 def _members(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,7 +202,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_top_terms, p1_sketch, p3_found, p3_classes, p3_canonical, p4_found, p4_scores, p4_elite, p5_found, p5_overlaps,
+            p1_found, p1_top_terms, p1_sketch, p3_found, p3_classes, p3_canonical, p4_found, p4_scores, p5_found, p5_overlaps,
             p6_found, p6_frequencies, p7_ids, p8_found, p8_packing, p8_containers, p8_violations, p9_found, p9_evidence, p9_sources,
         )
     }

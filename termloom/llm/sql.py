@@ -89,7 +89,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_top_terms": f"""WITH {_ITEMS}, {_TOKENS}
             SELECT term, count(*) AS n FROM tok GROUP BY term HAVING count(*) * 140 >= (SELECT count(*) FROM tok)""",
-        "p4_elite": f"""WITH RECURSIVE {_FIT}
+        "p4_scores": f"""WITH RECURSIVE {_FIT}
             SELECT seq, term, tf, df, round((tf / l) * ln(records / df) / ln(greatest(records, 2)), 6) AS tfidf,
                 round(1 / (1 + exp(-least(greatest(ln(share) - ln(1 - share) + tf * (ln(high) - ln(low)) - high + low, -700), 700))), 6) AS elite
             FROM posting JOIN len USING (seq) JOIN df USING (term) JOIN mixed USING (term), total""",

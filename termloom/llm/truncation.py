@@ -36,7 +36,8 @@ SHAPE_LENGTH = 120
 
 _BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff\u200b"
 _CLOSERS = r"[\"'»”’)\]]*"
-_AFTER = r"(\s*(\[\d+\]|\(edited\)|[:;]-?\)|[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]\x{FE0F}?|~{3,5}))*"
+# Repeated groups are possessive, so that the longest text takes no more stack than a short one.
+_AFTER = r"(?:\s*(?:\[\d+\]|\(edited\)|[:;]-?\)|[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]\x{FE0F}?|~{3,}))*+"
 FINISHED = rf"[.!?。！？]{_CLOSERS}{_AFTER}$"
 SENTENCE_END = rf"[.!?。！？]{_CLOSERS}(\s|$)"
 #: What follows the last finished sentence of a line.
@@ -163,7 +164,7 @@ def source_limits(judged: DataFrame) -> DataFrame:
 
 def _shape(line: Column) -> Column:
     """What a record line keeps once names, numbers and quoted parts are masked: how it begins and its last two words."""
-    masked = F.regexp_replace(F.regexp_replace(line, '"[^"]*"', '"Q"'), r"\d+([.,]\d+)*", "0")
+    masked = F.regexp_replace(F.regexp_replace(line, '"[^"]*"', '"Q"'), r"\d+(?:[.,]\d+)*+", "0")
     words = F.split(masked, " ")
     begin = F.when(line.rlike(r"^[*\-] "), F.concat_ws(" ", F.slice(words, 1, 2))).otherwise(F.get(words, F.lit(0)).substr(1, 2))
     end = F.transform(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), lambda w: F.regexp_replace(w, r"^(\(?)\p{Lu}[\p{L}\-]*$", "$1W"))
@@ -174,7 +175,7 @@ def _outline(line: Column) -> Column:
     """A line with words and numbers masked, for lines that are more than words: signs tell what they are. Null for others."""
     capital = F.regexp_replace(line, r"\p{Lu}[\p{L}\p{M}'’\-]*", "\x01")
     words = F.translate(F.regexp_replace(capital, r"\p{L}[\p{L}\p{M}'’\-]*", "w"), "\x01", "W")
-    masked = F.regexp_replace(words, r"\d+([.,:]\d+)*", "0")
+    masked = F.regexp_replace(words, r"\d+(?:[.,:]\d+)*+", "0")
     return F.when((F.length(line) <= SHAPE_LENGTH) & masked.rlike(r"[^Ww0\s,;()\"'»«”“’.-]|^- |-- "), masked)
 
 

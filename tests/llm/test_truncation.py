@@ -27,7 +27,10 @@ OPEN = [
 
 def test_endings(spark):
     rows = [(x, "cut") for x in CUT] + [(x, "whole") for x in WHOLE] + [(x, "open") for x in OPEN] + [("", None), (None, None), (" \n ", None)]
+    rows += [("It was! " + "🙂" * 50_000, "whole"), ("It was. " + "[1] " * 50_000, "whole"), ("It was. The " + "1," * 50_000 + "1 of the", "cut"), ("a. " * 50_000 + "It", "cut")]
+    rows += [("* Cache of " + "1." * 50_000, "cut")]
     df = spark.createDataFrame(rows, "text string, wanted string")
+    assert t.line_shapes(df, "text")
     found = t.with_endings(df, "text", SHAPES, OUTLINES).where("NOT (wanted <=> ending)")
     assert [tuple(r) for r in found.collect()] == []
 
