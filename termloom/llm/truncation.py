@@ -130,10 +130,13 @@ def _bands(bars: DataFrame) -> DataFrame:
 
 
 def _met(limits: DataFrame, judged: DataFrame) -> DataFrame:
-    """``judged`` with ``met``: the limit ``texts, i, lo, hi`` a text has the length of, that of most texts and of the plainest unit; else null."""
+    """``judged`` with ``met`` (``limits`` is a written table): the limit ``texts, i, lo, hi`` a text has the length of, that of most texts and of the plainest unit; else null."""
     row = F.struct("texts", (-F.col("i")).alias("i"), "lo", "hi")
     listed = limits.groupBy("source").agg(F.collect_list(row).alias("_limits"))
-    joined = join_unique(judged, materialise(listed, "limits"), "source")
+    size = limits.agg(F.sum(F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + 40)).first()[0]
+    if size is None:  # no limits
+        return judged.withColumn("met", F.lit(None).cast(listed.schema["_limits"].dataType.elementType))
+    joined = join_unique(judged, listed, "source", size=size)
     length = lambda x: F.get(F.col("lengths"), -x["i"])
     slack = lambda x: F.get(F.array(*[F.lit(n) for n in SLACK.values()]), -x["i"])
     at = F.filter("_limits", lambda x: length(x).between(x["lo"] - slack(x), x["hi"]))
