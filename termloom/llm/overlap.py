@@ -165,6 +165,23 @@ def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pairs()
 
 
+#: Sets that are numbered on the driver; more are ranked by range partitions.
+LOCAL_SETS = 10_000
+
+
+def _numbered(keys: DataFrame) -> tuple[DataFrame, int, int]:
+    """``key, no`` of different keys in their order, how many there are, and their bytes."""
+    some = keys.limit(LOCAL_SETS + 1).collect()
+    if len(some) <= LOCAL_SETS:
+        rows = [(k, i) for i, k in enumerate(sorted(r["key"] for r in some))]
+        local = keys.sparkSession.createDataFrame(rows, keys.select("key", F.lit(0).cast("bigint").alias("no")).schema)
+        return local, len(rows), sum(len((k.space + k.set).encode()) + 40 for k, _ in rows)
+    numbered = materialise(global_rank(keys, ["key"], "no"), "sets")
+    size = F.sum(F.octet_length("key.space") + F.octet_length("key.set") + 40)
+    count, measured = numbered.agg(F.count(F.lit(1)), size).first()
+    return numbered, count, measured
+
+
 def overlap_sizes(members: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """``space, set_a, set_b, n_a, n_b, shared`` of every two sets of one space that share a member, ``set_a < set_b``.
 
@@ -177,11 +194,11 @@ def overlap_sizes(members: DataFrame, sets: DataFrame | None = None) -> DataFram
     sound = members.where("space IS NOT NULL AND set IS NOT NULL AND member IS NOT NULL")
     known = sound if sets is None else sets.where("space IS NOT NULL AND set IS NOT NULL")
     key = F.struct(F.col("space").cast("string").alias("space"), F.col("set").cast("string").alias("set")).alias("key")
-    numbered = materialise(global_rank(known.select(key).distinct(), ["key"], "no"), "sets")
-    blocks = -(-numbered.count() // (1 << BLOCK_BITS))
+    numbered, count, size = _numbered(known.select(key).distinct())
+    blocks = -(-count // (1 << BLOCK_BITS))
     word = F.col("word").cast("bigint") if "word" in members.columns else F.lit(None).cast("bigint")
     rows = sound.select(key, F.col("member").cast("bigint").alias("member"), word.alias("word"))
-    placed = join_unique(rows, numbered, "key", "inner").select("key.space", "no", "member", "word")
+    placed = join_unique(rows, numbered, "key", "inner", size=size).select("key.space", "no", "member", "word")
     bundles = placed.mapInArrow(_bundles, _BUNDLE)
     if blocks <= 1:
         dealt = bundles.withColumns({"a": F.col("block"), "b": F.col("block")})
@@ -196,9 +213,9 @@ def overlap_sizes(members: DataFrame, sets: DataFrame | None = None) -> DataFram
     counted = arranged.mapInArrow(_intersections, "no_a bigint, no_b bigint, shared bigint")
     sizes = materialise(counted.groupBy("no_a", "no_b").agg(F.sum("shared").alias("shared")), "overlaps")
     own = sizes.where("no_a = no_b").select(F.col("no_a").alias("no"), F.col("shared").alias("n"))
-    described = materialise(numbered.join(own, "no"), "described")
+    described = numbered.join(own, "no")
     pairs = sizes.where("no_a < no_b")
     for side in "ab":
         names = described.select(F.col("no").alias(f"no_{side}"), F.col("key").alias(f"key_{side}"), F.col("n").alias(f"n_{side}"))
-        pairs = join_unique(pairs, names, f"no_{side}", "inner")
+        pairs = join_unique(pairs, names, f"no_{side}", "inner", size=size)
     return pairs.select("key_a.space", F.col("key_a.set").alias("set_a"), F.col("key_b.set").alias("set_b"), "n_a", "n_b", "shared")

@@ -14,9 +14,10 @@ def found(df):
     return {(r.space, r.set_a, r.set_b): (r.n_a, r.n_b, r.shared) for r in df.collect()}
 
 
-@pytest.mark.parametrize("names", [11, 300])
-def test_against_sets(spark, names):
-    # 600 sets are three blocks, which meet each other.
+@pytest.mark.parametrize(("names", "local"), [(11, 10_000), (300, 100)])
+def test_against_sets(spark, monkeypatch, names, local):
+    # 600 sets are three blocks, which meet each other, and are not numbered on the driver.
+    monkeypatch.setattr(o, "LOCAL_SETS", local)
     rng = random.Random(4)
     pool = [rng.choice([rng.randrange(200), rng.randrange(10**6), 2**40 + rng.randrange(3), -rng.randrange(100)]) for _ in range(400)]
     sets = {(s, f"t{a}"): set(rng.sample(pool, rng.choice([0, 1, 5, 60, 300]))) for s in ("x", "y") for a in range(names)}
