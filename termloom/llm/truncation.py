@@ -17,6 +17,10 @@ as cut at a limit of its source and as whole elsewhere.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +90,8 @@ def stored_lengths(text: Column) -> Column:
     return F.array(*[lengths[unit].cast("bigint") for unit in UNITS])
 
 
-def _standing_out(held: Column, usual: Column) -> Column:
-    return held >= SPIKE_TEXTS + usual + SPIKE_SIGMAS * F.sqrt(usual)
+def _standing_out(held: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    return held >= SPIKE_TEXTS + usual + SPIKE_SIGMAS * np.sqrt(usual)
 
 
 def _bars(judged: DataFrame) -> DataFrame:
@@ -96,37 +100,76 @@ def _bars(judged: DataFrame) -> DataFrame:
     return each.groupBy("source", "i", "n").agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("ending") == "cut").alias("cut"))
 
 
-def _upto(what: str, offset: int) -> Column:
-    """Running total over lengths up to this one plus ``offset``; it grows along a source's lengths, however far the offset."""
-    return F.coalesce(F.sum(what).over(Window.partitionBy("source", "i").orderBy("n").rangeBetween(Window.unboundedPreceding, offset)), F.lit(0))
+#: More than any length: keeps the lengths of different sources and units apart when they are put in one row.
+_SPAN = 1 << 40
+
+
+def _over_lengths(choose):
+    """Applies ``choose`` to bars that come sorted by source, unit and length; sources and units stay whole."""
+
+    def chosen(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        i, n, texts, cut = (table.column(c).to_numpy() for c in ("i", "n", "texts", "cut"))
+        place = group * _SPAN + n
+        sums = {name: np.concatenate([[0], np.cumsum(x)]) for name, x in (("texts", texts), ("cut", cut))}
+        # Total of a source and unit up to this length plus an offset, and of all before it, which differences leave out.
+        upto = lambda offset, name="texts": sums[name][np.searchsorted(place, place + offset, side="right")]
+        keep, lo, held, ends = choose(i, upto, texts, cut)
+        kept = np.flatnonzero(keep)
+        columns = [table.column("source").combine_chunks().take(pa.array(kept)), *(pa.array(x[kept]) for x in (i, n + lo, n, held, ends))]
+        return pa.RecordBatch.from_arrays(columns, ["source", "i", "lo", "hi", "texts", "cut"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            waiting = new if waiting is None else pa.concat_tables([waiting, new])
+            source = waiting.column("source").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            i = waiting.column("i").to_numpy()
+            group = np.concatenate([[0], np.cumsum((source[1:] != source[:-1]) | (i[1:] != i[:-1]))])
+            last = int(np.searchsorted(group, group[-1]))
+            if last:
+                yield chosen(waiting.slice(0, last), group[:last])
+                waiting = waiting.slice(last)
+        if waiting is not None:
+            yield chosen(waiting, np.zeros(waiting.num_rows, np.int64))
+
+    return run
+
+
+def _spike(i, upto, texts, cut):
+    gap = np.maximum(np.array(list(SLACK.values())), 1)[i]
+    near, around = ((upto(-gap - 1) - upto(-gap - 1 - far), upto(far) - upto(0)) for far in (NEAR, AROUND))
+    # Near by, either side counts: a band has lengths on one side of each of its own.
+    usual = np.maximum(np.maximum(*near) / NEAR, sum(around) / (2 * AROUND))
+    # Texts that missed the limit for a character's sake are fewer than those that met it.
+    missed = upto(-1) - upto(-gap - 1)
+    return _standing_out(texts, usual) & (texts >= missed) & (2 * cut >= texts), 0, texts, cut
+
+
+def _band(i, upto, texts, cut):
+    held, ends = (upto(0, name) - upto(-BAND, name) for name in ("texts", "cut"))
+    sides = upto(-BAND) - upto(-BAND - 2 * AROUND), upto(2 * AROUND) - upto(0)
+    return _standing_out(held, np.maximum(*sides) * (BAND / (2 * AROUND))) & (2 * ends >= held), 1 - BAND, held, ends
+
+
+def _chosen(bars: DataFrame, choose) -> DataFrame:
+    kind = bars.schema["source"].dataType.simpleString()
+    sorted_bars = bars.repartition("source", "i").sortWithinPartitions("source", "i", "n")
+    return sorted_bars.mapInArrow(_over_lengths(choose), f"source {kind}, i int, lo bigint, hi bigint, texts bigint, cut bigint")
 
 
 def _spikes(bars: DataFrame) -> DataFrame:
     """``source, i, lo, hi, texts`` of single lengths that stand out."""
-    gaps = F.array(*[F.lit(max(g, 1)) for g in SLACK.values()])
-    below = {g: {far: _upto("texts", -g - 1) - _upto("texts", -g - 1 - far) for far in (NEAR, AROUND)} for g in sorted({max(g, 1) for g in SLACK.values()})}
-    usual = []
-    for far in (NEAR, AROUND):
-        before = F.coalesce(*[F.when(F.get(gaps, F.col("i")) == g, found[far]) for g, found in below.items()])
-        after = _upto("texts", far) - _upto("texts", 0)
-        # Near by, either side: a band has lengths on one side of each of its own.
-        usual.append(F.greatest(before, after) / far if far == NEAR else (before + after) / (2 * far))
-    # Texts that missed the limit for a character's sake are fewer than those that met it.
-    missed = F.coalesce(*[F.when(F.get(gaps, F.col("i")) == g, _upto("texts", -1) - _upto("texts", -g - 1)) for g in below])
-    found = bars.withColumns({"usual": F.greatest(*usual), "missed": missed})
-    sharp = _standing_out(F.col("texts"), F.col("usual")) & (F.col("texts") >= F.col("missed")) & (2 * F.col("cut") >= F.col("texts"))
-    return found.where(sharp).select("source", "i", F.col("n").alias("lo"), F.col("n").alias("hi"), "texts")
+    return _chosen(bars, _spike).drop("cut")
 
 
 def _bands(bars: DataFrame) -> DataFrame:
     """``source, i, lo, hi, texts`` of runs of ``BAND`` lengths that stand out; of those that overlap the first with the most cut texts."""
-    held = bars.withColumns({"h": _upto("texts", 0) - _upto("texts", -BAND), "c": _upto("cut", 0) - _upto("cut", -BAND)})
-    sides = _upto("texts", -BAND) - _upto("texts", -BAND - 2 * AROUND), _upto("texts", 2 * AROUND) - _upto("texts", 0)
-    held = held.withColumn("usual", F.greatest(*sides) * (BAND / (2 * AROUND)))
-    full = held.where(_standing_out(F.col("h"), F.col("usual")) & (2 * F.col("c") >= F.col("h")))
-    near = Window.partitionBy("source", "i").orderBy("n").rangeBetween(-BAND, BAND)
-    found = full.withColumn("best", F.max(F.struct("c", (-F.col("n")).alias("n"))).over(near)).where(-F.col("best.n") == F.col("n"))
-    return found.select("source", "i", (F.col("n") - (BAND - 1)).alias("lo"), F.col("n").alias("hi"), F.col("h").alias("texts"))
+    near = Window.partitionBy("source", "i").orderBy("hi").rangeBetween(-BAND, BAND)
+    best = F.max(F.struct("cut", (-F.col("hi")).alias("hi"))).over(near)
+    return _chosen(bars, _band).withColumn("best", best).where(-F.col("best.hi") == F.col("hi")).drop("best", "cut")
 
 
 def _met(limits: DataFrame, judged: DataFrame) -> DataFrame:
